@@ -23,7 +23,7 @@ QUOTED_CHARS = 198
 
 # Written before every variable part, then replaced together with it. A noncharacter, which
 # interchanged text cannot contain.
-_MARK = "﷐"
+_MARK = "\ufdd0"
 
 # First quoted text, then one scan that marks every variable part, then one step per kind of
 # part. Those steps begin with the mark, so they pass over everything else quickly, and every

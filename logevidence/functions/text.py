@@ -6,10 +6,10 @@ from pyspark.sql import Column, functions as F
 
 # The characters with the Unicode White_Space property.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-_OTHER_SPACE = r"\t-\r\x85\xA0  -     　"
+_OTHER_SPACE = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITESPACE_CLASS = f"[ {_OTHER_SPACE}]"
 WHITESPACE_NOT_BLANK_CLASS = f"[{_OTHER_SPACE}]"
 
