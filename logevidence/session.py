@@ -56,6 +56,11 @@ def staging_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def staging_path(spark: SparkSession, kind: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{staging_root(spark)}/logevidence/{kind}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
@@ -64,6 +69,6 @@ def stage(df: DataFrame) -> DataFrame:
     result has a known file size the optimizer itself decides whether it may be broadcast.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/logevidence/stage-{uuid.uuid4().hex}"
+    path = staging_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

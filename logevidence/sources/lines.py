@@ -12,7 +12,10 @@ from ..functions.timeparse import instant_literal
 from ..schema import TAIL_LINES
 
 # Where a line stood in its file. Together these give the arrival order of lines read at the same time.
-POSITION = ("file", "block_start", "line_id")
+# A streaming plan cannot number lines; there the id is added to each micro-batch when it is appended.
+FILE_POSITION = ("file", "block_start")
+LINE_ID = "line_id"
+POSITION = (*FILE_POSITION, LINE_ID)
 
 
 def from_lines(
@@ -69,10 +72,12 @@ def read_lines(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
     )
+    extra = FILE_POSITION if positions else ()
+    if positions and not stream:
+        lines, extra = lines.withColumn(LINE_ID, F.monotonically_increasing_id()), POSITION
     source = F.col("file_name") if label is None else label
-    return from_lines(lines, "value", source, None, keep_empty, kind, POSITION if positions else ())
+    return from_lines(lines, "value", source, None, keep_empty, kind, extra)
 
 
 def container_name() -> Column:
@@ -87,7 +92,7 @@ def read_containers(
 
     A batch read starts with the last ``tail`` lines of every container; a stream takes all new files.
     """
-    records = read_lines(spark, path, container_name(), stream, kind="container", positions=True)
+    records = read_lines(spark, path, container_name(), stream, kind="container", positions=stream or tail is not None)
     if stream or tail is None:
         return records
     # the ranking limit applies before the shuffle, so at most `tail` rows per container and split move

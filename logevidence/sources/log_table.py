@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.order import assign_seq, retain_newest
 from ..schema import CHUNK_ROWS, LOG_SCHEMA
-from .lines import POSITION
+from .lines import FILE_POSITION, LINE_ID
 
 _LAST_SCHEMA = "seq bigint"
 _TABLE_SCHEMA = T.StructType(
@@ -64,9 +64,15 @@ def append_batch(
     """
     spark = batch.sparkSession
     if not order_by:
-        order_by = ("timestamp", *(POSITION if set(POSITION) <= set(batch.columns) else ("source", "payload")))
+        if set(FILE_POSITION) <= set(batch.columns):
+            if LINE_ID not in batch.columns:
+                batch = batch.withColumn(LINE_ID, F.monotonically_increasing_id())
+            order_by = ("timestamp", *FILE_POSITION, LINE_ID)
+        else:
+            order_by = ("timestamp", "source", "payload")
     last = _last_seq_before(spark, path, stream_id, batch_id)
     folder = f"{path}/stream={stream_id}/batch={batch_id}"
+    batch = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     numbered = assign_seq(batch, *order_by, start=last + 1).select(*[f.name for f in LOG_SCHEMA.fields])
     numbered.write.mode("overwrite").parquet(folder)
     written = spark.read.schema(LOG_SCHEMA).parquet(folder).agg(F.max("seq")).first()[0]

@@ -14,7 +14,7 @@ from ..plans.queries import QueryArgs, Result, elided_records
 from ..schema import (
     DEFAULT_RECORD_LIMIT, DEFAULT_SETTLE_MS, DEFAULT_TIMEOUT_MS, LOG_SCHEMA, MAX_TIMEOUT_MS, timestamp_type,
 )
-from ..session import staging_root
+from ..session import staging_path
 
 _POLL_MS = 100
 
@@ -79,7 +79,7 @@ def _find_in_stream(stream, condition, snapshot, deadline) -> int | None:
                 seen.append(anchor)
                 found.set()
 
-    checkpoint = f"{staging_root(stream.sparkSession)}/logevidence/wait-{time.time_ns()}"
+    checkpoint = staging_path(stream.sparkSession, "wait")
     query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(look).start()
     try:
         while not found.is_set() and time.monotonic() < deadline:

@@ -407,3 +407,10 @@ ORACLE = {
         + " || CASE WHEN detail IS NULL THEN '' ELSE ' · ' || " + preview("detail", 80) + " END AS line FROM views"
     ),
 }
+
+# a stream that has seen everything gives the batch answer
+ORACLE["streamed_ingest"] = on_logs(f"SELECT {RECORD} FROM logs")
+ORACLE["streamed_source_stats"] = ORACLE["source_statistics"]
+ORACLE["streamed_error_groups"] = ORACLE["error_group_summary"]
+ORACLE["streamed_traces"] = ORACLE["trailing_context_errors"]
+ORACLE["streamed_follow"] = ORACLE["json_record_sink"] + " WHERE contains(source, 'worker') AND contains(payload, 'error')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logevidence import functions as fn
 from logevidence.functions.levels import parse_level
@@ -15,8 +15,13 @@ from logevidence.operators.order import newest
 from logevidence.plans import recent_errors, records, search_logs
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
+from logevidence.session import staging_path
+from logevidence.sources import append_logs, read_log_table
+from logevidence.streaming import (
+    follow_to, follow_traces, open_traces, read_traces, running_error_groups, running_source_stats,
+)
 
-from .tables import lifecycle, logs, raw_logs, table, text_lines, with_level
+from .tables import lifecycle, log_stream, logs, raw_logs, table, text_lines
 
 SINCE = "2024-01-15T00:00:00Z"
 CURSORS = (0, 1, 50, 99_999, 100_000, 10_000_000)
@@ -357,6 +362,51 @@ def rendered_sources(spark, sf):
     return source_lines(source_views(logs(spark, sf), lifecycle(spark, sf)))
 
 
+def streamed_ingest(spark, sf):
+    """The stream of events appended to a log table, which numbers the records itself."""
+    path = staging_path(spark, "log")
+    stream = log_stream(spark, sf).drop("seq")
+    append_logs(stream, path, staging_path(spark, "run"), availableNow=True).awaitTermination()
+    return _records(read_log_table(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def _streamed_aggregate(df: DataFrame) -> DataFrame:
+    spark, path = df.sparkSession, staging_path(df.sparkSession, "aggregate")
+    writer = df.writeStream.outputMode("complete").option("checkpointLocation", staging_path(spark, "run"))
+    query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def streamed_source_stats(spark, sf):
+    return _streamed_aggregate(running_source_stats(log_stream(spark, sf)))
+
+
+def streamed_error_groups(spark, sf):
+    groups = _streamed_aggregate(running_error_groups(filter_logs(log_stream(spark, sf), level="error")))
+    return groups.select("fingerprint", "count", "level", "first_seen", "last_seen", "first_seq", "last_seq")
+
+
+def streamed_traces(spark, sf):
+    """Errors with the lines that followed, assembled live; those still open at the end included."""
+    path, is_error = staging_path(spark, "traces"), F.col("level") == "error"
+    query = follow_traces(log_stream(spark, sf), path, staging_path(spark, "run"), is_error, availableNow=True)
+    query.awaitTermination()
+    last_batch = (query.lastProgress or {}).get("batchId", 0)
+    done = read_traces(spark, path).select("seq", "source", "context")
+    still_open = open_traces(spark, path, last_batch, is_error).select("seq", "source", "context")
+    return done.unionByName(still_open).withColumn("context", F.array_join("context", "|"))
+
+
+def streamed_follow(spark, sf):
+    """Live view of one source as JSON lines."""
+    path = staging_path(spark, "follow")
+    follow_to(
+        log_stream(spark, sf), path, staging_path(spark, "run"), {"availableNow": True}, source="worker", grep="error"
+    ).awaitTermination()
+    return spark.read.text(path)
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())

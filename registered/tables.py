@@ -70,6 +70,13 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     return with_level(raw_logs(table(spark, sf, "events")))
 
 
+def log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived log as a stream of the events file."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return with_level(raw_logs(events))
+
+
 def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where(LIFECYCLE_WHERE).select(*_columns(LIFECYCLE_COLUMNS))
 
