@@ -25,35 +25,40 @@ QUOTED_CHARS = 198
 # interchanged text cannot contain.
 _MARK = "\ufdd0"
 
-# First quoted text, then one scan that marks every variable part, then one step per kind of
-# part. Those steps begin with the mark, so they pass over everything else quickly, and every
-# quantifier is possessive or bounded, so no line is scanned more than once per step.
-_STEPS = (
-    ("|".join(f"{q}[^{q}]{{0,{QUOTED_CHARS}}}{q}" for q in "\"'`"), "<S>"),
-    (
-        f"[0-9]{_TOKEN}*+"
-        # the look-behind lets a stretch of hex letters be tried only where it begins
-        f"|(?<![a-fA-F])[a-fA-F]{_HEX}{{7,}}+{_RUN_END}"
-        f"|[a-fA-F]{_HEX}{{7}}{_UUID_TAIL}",
-        f"{_MARK}$0",
-    ),
+_QUOTED = "(?=[\"'`])(?:" + "|".join(f"{q}[^{q}]{{0,{QUOTED_CHARS}}}+{q}" for q in "\"'`") + ")"
+
+# Where a variable part begins: at the first digit of a run, at an id of letters and digits. The
+# look-behind lets a stretch of hex letters be tried only where it begins.
+_VARIABLE = (
+    f"[0-9]{_TOKEN}*+|[a-fA-F]{_HEX}{{7}}(?:{_UUID_TAIL}|(?<![a-fA-F]{_HEX}{{8}}){_HEX}*+{_RUN_END})"
+)
+
+# The kinds of variable parts, most specific first. All begin with the mark, so they pass over
+# everything else quickly.
+_KINDS = (
     (f"{_MARK}{_HEX}{{8}}{_UUID_TAIL}", "<UUID>"),
     (f"{_MARK}(?:0x)*+{_HEX}{{8,}}+{_RUN_END}", "<HEX>"),
     (f"{_MARK}{_NOT_COLON}:{_NOT_COLON}:{_TOKEN}*+", "<TIME>"),
     (f"{_MARK}(?={_NOT_T}T)(?={_NOT_COLON}:){_TOKEN}*+", "<TS>"),
     (f"{_MARK}(?={_NOT_COLON}:|{_NOT_DOT}\\.{_NOT_DOT}\\.){_TOKEN}*+", "<ADDR>"),
     (f"{_MARK}{_TOKEN}++", "<N>"),
-    # not a single blank, which already is what it would become
-    (f"(?![!-~])(?: {WHITESPACE_CLASS}++|{WHITESPACE_NOT_BLANK_CLASS}{WHITESPACE_CLASS}*+)", " "),
 )
 
+# White space to collapse: not a single blank, which already is what it would become.
+_SPACE = f"(?![!-~])(?: {WHITESPACE_CLASS}++|{WHITESPACE_NOT_BLANK_CLASS}{WHITESPACE_CLASS}*+)"
+
 
 def fingerprint(payload: Column) -> Column:
     """Template of a line: ids, numbers, times, addresses and quoted text become placeholders.
 
-    A chain of linear-time replacements, all inside generated code.
+    One scan replaces quoted text, one marks every variable part, one per kind replaces the
+    marked parts (in lines that have any), one collapses white space. Every quantifier is
+    possessive or bounded, so each scan is linear in the length of the line.
     """
-    text = payload
-    for pattern, replacement in _STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.substring(F.trim(text), 1, FINGERPRINT_CHARS)
+    text = F.regexp_replace(payload, _QUOTED, "<S>")
+    marked = F.regexp_replace(text, _VARIABLE, f"{_MARK}$0")
+    named = marked
+    for pattern, placeholder in _KINDS:
+        named = F.regexp_replace(named, pattern, placeholder)
+    text = F.when(F.contains(marked, F.lit(_MARK)), named).otherwise(marked)
+    return F.substring(F.trim(F.regexp_replace(text, _SPACE, " ")), 1, FINGERPRINT_CHARS)

@@ -9,6 +9,10 @@ from pyspark.sql import Column, functions as F
 from .text import ltrim, trim
 
 
+# Ends the array that a payload is parsed in. A noncharacter, which interchanged text cannot contain.
+_LAST = "\ufdd0"
+
+
 def variant_kind(v: Column) -> Column:
     """Type name of a variant value, e.g. ``STRING``, ``BIGINT``, ``DECIMAL(2,1)``, ``VOID``."""
     return F.schema_of_variant(v)
@@ -22,13 +26,17 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 def _strict(doc: Column) -> Column:
     """``doc`` parsed as exactly one JSON value, else null.
 
-    The variant parser stops after the first value and ignores what follows. Parsing the text
-    inside an array and requiring one element, and again as an object member, leaves no
-    room for anything after the value.
+    The variant parser stops after the first value and ignores what follows. So the text is
+    parsed as the first of two elements of an array: with anything after the value in ``doc``
+    the array does not come out as those two.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))).try_cast("array<variant>")
-    alone = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), doc, F.lit("}")))) == 1
-    return F.when((F.size(wrapped) == 1) & alone, F.try_element_at(wrapped, F.lit(1)))
+    pair = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(f',"{_LAST}"]'))).try_cast("array<variant>")
+
+    def first(elements: Column) -> Column:
+        whole = (F.size(elements) == 2) & (F.try_element_at(elements, F.lit(2)).try_cast("string") == _LAST)
+        return F.when(whole, F.try_element_at(elements, F.lit(1)))
+
+    return bind(pair, first)
 
 
 def json_fields(payload: Column) -> Column:

@@ -34,6 +34,9 @@ CLEAN_PHRASES = (
     "error_count=0", "errors: 0", "errors=0", "error-free", "failure-free",
 )
 
+# every key above contains one of these; `\\u` may hide a letter of it
+_KEY_PATTERN = r"(?i)level|severity|\\u"
+
 _START = "(?<![A-Za-z0-9_])"
 _END = "(?![A-Za-z0-9_])"
 
@@ -130,7 +133,9 @@ def structured_level(payload: Column) -> Column:
             bind(F.try_element_at(nested, F.lit("level")), level_value),
         )
 
-    return F.when(ltrim(payload).startswith("{"), bind(json_fields(payload), level_in))
+    # only a text that spells out one of the keys, or spells something in escapes, is worth parsing
+    candidate = ltrim(payload).startswith("{") & payload.rlike(_KEY_PATTERN)
+    return F.when(candidate, bind(json_fields(payload), level_in))
 
 
 def text_level(payload: Column) -> Column:

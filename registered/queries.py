@@ -144,8 +144,7 @@ def error_group_sources(spark, sf):
 
 def document_line_groups(spark, sf):
     """Fingerprint groups over every line of every document: many groups, some very large."""
-    lines = text_lines(spark, sf, "documents", "doc_id", "text")
-    rows = lines.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select(
+    rows = text_lines(spark, sf, "documents", "doc_id", "text", "source").select(
         # a document has fewer than 2^20 lines
         (F.shiftleft("doc_id", 20) + F.col("line")).alias("seq"),
         F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("timestamp"),

@@ -81,6 +81,6 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where(LIFECYCLE_WHERE).select(*_columns(LIFECYCLE_COLUMNS))
 
 
-def text_lines(spark: SparkSession, sf: str, name: str, key: str, text: str) -> DataFrame:
-    """Every line of every text of a table: ``key, line, payload``."""
-    return table(spark, sf, name).select(key, F.posexplode(F.split(text, "\n")).alias("line", "payload"))
+def text_lines(spark: SparkSession, sf: str, name: str, key: str, text: str, *extra: str) -> DataFrame:
+    """Every line of every text of a table: ``key, line, payload`` and more columns of the text."""
+    return table(spark, sf, name).select(key, *extra, F.posexplode(F.split(text, "\n")).alias("line", "payload"))
