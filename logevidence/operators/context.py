@@ -48,26 +48,23 @@ def trailing_context(
     shuffled once: both uses read the same exchange.
     """
     anchors = F.lit(True) if anchors is None else anchors
-    narrow = logs.select(
-        "seq",
-        "source",
-        chunk_of(F.col("seq"), chunk_rows).alias("chunk"),
-        (
-            F.when(starts_event(), F.lit(_BREAK)).otherwise(F.lit(0))
-            + F.when(anchors, F.lit(_ANCHOR)).otherwise(F.lit(0))
-        ).alias("kind"),
-        # a row that starts an event is never anybody's context, so its text stays behind
-        F.when(~starts_event(), elide(F.col("payload"), max_payload_chars)[0]).alias("line"),
+    kind = F.when(starts_event(), F.lit(_BREAK)).otherwise(F.lit(0)) + F.when(anchors, F.lit(_ANCHOR)).otherwise(
+        F.lit(0)
     )
-    is_anchor = F.col("kind").bitwiseAND(_ANCHOR) == _ANCHOR
+    # a row that starts an event is never anybody's context, so its text stays behind
+    line = F.when(~starts_event(), elide(F.col("payload"), max_payload_chars)[0])
+    # exactly these columns go through the exchange, whichever of the two uses reads it
+    narrow = logs.where(F.col("source").isNotNull()).select(
+        "seq", "source", chunk_of(F.col("seq"), chunk_rows).alias("chunk"),
+        F.struct(kind.alias("kind"), line.alias("line")).alias("item"),
+    )
+    is_anchor = F.col("item.kind").bitwiseAND(_ANCHOR) == _ANCHOR
     if n == 0:
         empty = F.array().cast("array<string>")
         return narrow.where(is_anchor).select("seq", "source", empty.alias("context"), F.lit(True).alias("closed"))
 
     by_seq = Window.partitionBy("source", "chunk").orderBy("seq")
-    item = F.struct("kind", "line")
-    following = F.collect_list(item).over(by_seq.rowsBetween(1, n))
-    rows = narrow.withColumn("lines", following).where(is_anchor)
+    rows = narrow.withColumn("lines", F.collect_list("item").over(by_seq.rowsBetween(1, n))).where(is_anchor)
 
     # count(*) rather than row_number(): a ranking filter would be pushed below the exchange,
     # which would then no longer be shared
@@ -76,15 +73,16 @@ def trailing_context(
         narrow.withColumn("position", position)
         .where(F.col("position") <= n)
         .groupBy("source", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "kind", "line"))).alias("head"))
-        .select("source", "chunk", F.transform("head", lambda r: F.struct(r["kind"], r["line"])).alias("head"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("head"))
+        .select("source", "chunk", F.col("head.item").alias("head"))
     )
     # each later chunk gives at least one row, so n chunks are enough
     by_chunk = Window.partitionBy("source").orderBy("chunk").rowsBetween(1, n)
     carries = heads.select(
         "source", "chunk", F.slice(F.flatten(F.collect_list("head").over(by_chunk)), 1, n).alias("carry")
     )
-    lines = F.slice(F.concat("lines", F.coalesce("carry", F.array().cast("array<struct<kind:int,line:string>>"))), 1, n)
+    none = F.array().cast("array<struct<kind:int,line:string>>")
+    lines = F.slice(F.concat("lines", F.coalesce("carry", none)), 1, n)
     return (
         rows.join(carries, ["source", "chunk"], "left")
         .withColumn("lines", lines)

@@ -10,6 +10,7 @@ from ..functions.levels import detect_level
 from ..functions.text import strip_line_ending
 from ..functions.timeparse import instant_literal
 from ..schema import TAIL_LINES
+from ..session import prepare
 
 # Where a line stood in its file. Together these give the arrival order of lines read at the same time.
 # A streaming plan cannot number lines; there the id is added to each micro-batch when it is appended.
@@ -32,6 +33,7 @@ def from_lines(
     Without ``ts_col`` a record is stamped with the time it is read. Empty lines are dropped
     unless ``keep_empty`` (captured process output keeps them).
     """
+    prepare(df.sparkSession)
     payload = strip_line_ending(F.col(text_col), kind)
     label = F.lit(source) if isinstance(source, str) else source
     records = df.select(

@@ -37,6 +37,8 @@ def make_logs(spark):
         from pyspark.sql import functions as F
 
         df = spark.createDataFrame(data, "seq bigint, timestamp timestamp_ntz, source string, level string, payload string")
+        if all(level for _, level, _ in rows):
+            return df
         return df.withColumn("level", F.coalesce("level", detect_level(F.col("payload"))))
 
     return make
