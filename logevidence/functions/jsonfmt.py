@@ -69,6 +69,11 @@ def flatten_json(payload: Column) -> Column:
     return F.when(_looks_like_json(payload), bind(_strict(doc), flat))
 
 
+def flattened_view(payload: Column) -> Column:
+    """The flattened form of a JSON payload, any other payload as it is."""
+    return F.coalesce(flatten_json(payload), payload)
+
+
 def _by_key(a: Column, b: Column) -> Column:
     return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
 

@@ -51,7 +51,7 @@ def java_pattern(pattern: str) -> str:
 def check_pattern(pattern: str, name: str = "grep") -> str:
     """`java_pattern`, with a ``ValueError`` when Spark cannot compile the result.
 
-    The probe runs over one literal row and is folded on the driver; no job starts.
+    The probe is a query over one literal row.
     """
     try:
         text = java_pattern(pattern)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import elide, rfc3339
 from ..operators.context import context_of
@@ -145,6 +145,14 @@ def records(logs: DataFrame, grep: str | None = None, source: str | None = None)
 
 
 def json_records(rows: DataFrame) -> DataFrame:
-    """One JSON object per record in column ``value``; absent fields are left out."""
-    fields = [rfc3339(F.col("timestamp")).alias("timestamp") if c == "timestamp" else F.col(c) for c in rows.columns]
-    return rows.select(F.to_json(F.struct(*fields)).alias("value"))
+    """One JSON object per row in column ``value``; fields without a value and empty lists are left out."""
+
+    def field(name: str, kind: T.DataType) -> Column:
+        column = F.col(f"`{name}`")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return rfc3339(column).alias(name)
+        if isinstance(kind, T.ArrayType):
+            return F.when(F.size(column) > 0, column).alias(name)
+        return column
+
+    return rows.select(F.to_json(F.struct(*[field(f.name, f.dataType) for f in rows.schema])).alias("value"))

@@ -316,7 +316,7 @@ def deduplicated(spark, sf):
 
 def flattened_json(spark, sf):
     return raw_logs(table(spark, sf, "events")).select(
-        "seq", fn.flatten_json(F.col("payload")).alias("flat"), F.coalesce(fn.flatten_json(F.col("payload")), F.col("payload")).alias("shown")
+        "seq", fn.flatten_json(F.col("payload")).alias("flat"), fn.flattened_view(F.col("payload")).alias("shown")
     )
 
 
