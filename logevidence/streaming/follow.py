@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import filter_logs
+from ..operators.horizon import record_envelope
 from ..operators.merge import dedup_by_seq
 from ..plans.queries import Result, elided_records, json_records
-from ..operators.horizon import record_envelope
 from ..schema import DEFAULT_CAPACITY
 
 
@@ -52,8 +53,11 @@ def hydrate_and_follow(
     schema, spark = stream.schema, stream.sparkSession
 
     def view() -> DataFrame:
-        live = spark.read.schema(schema).parquet(live_path)
-        return dedup_by_seq(history(), live, keep=DEFAULT_CAPACITY)
+        try:
+            live = [spark.read.schema(schema).parquet(live_path)]
+        except AnalysisException:
+            live = []  # nothing has arrived yet
+        return dedup_by_seq(history(), *live, keep=DEFAULT_CAPACITY)
 
     return query, view
 

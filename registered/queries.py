@@ -11,7 +11,6 @@ from logevidence.operators import (
     horizon, interactive_filter, latest_match, lifecycle_state, log_filter, merge_sources, page_slice,
     retain_newest, source_stats, source_totals, source_views, status, tail_per_source, trailing_context,
 )
-from logevidence.operators.order import newest
 from logevidence.plans import recent_errors, records, search_logs
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines

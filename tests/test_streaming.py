@@ -113,6 +113,17 @@ def test_hydrate_and_follow_sees_everything_once(spark, table, tmp_path):
     assert sorted(r["seq"] for r in view().collect()) == list(range(1, 35))
 
 
+def test_history_alone_while_nothing_is_live(spark, table, tmp_path):
+    path, _ = table
+    (tmp_path / "quiet").mkdir()
+    stream = spark.readStream.schema(LOG_SCHEMA).parquet(str(tmp_path / "quiet"))
+    query, view = hydrate_and_follow(
+        lambda: read_log_table(spark, path), stream, str(tmp_path / "live"), str(tmp_path / "cp"), availableNow=True
+    )
+    run(query)
+    assert view().count() == 32
+
+
 def test_unique_by_seq(spark, make_logs, tmp_path):
     rows = make_logs(FLOOD).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     rows.unionByName(rows).coalesce(1).write.parquet(str(tmp_path / "in"))
