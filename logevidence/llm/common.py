@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +17,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the executors once per application, as ``--py-files`` would, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"  # read by the driver's file server alone
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key's text, modulo ``parts``; null for a null key."""
     return F.crc32(key.cast("string")) % parts
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """``doc_id, text, <label>`` of at most ``most[v]`` labelled documents for each label value v.
+
+    Those with the smallest hash of their id are taken, so the choice doesn't depend on the order of rows. The ids alone are
+    sorted and sent to the tasks; the bound makes that safe, and the texts are not shuffled.
+    """
+    chosen = None
+    for value, bound in most.items():
+        ids = (
+            labels.where((F.col(label) == value) & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).distinct()
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        )
+        chosen = ids if chosen is None else chosen.union(ids)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Only a local session may do without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

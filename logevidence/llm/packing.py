@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_arrow, table
 from .textbytes import chunks
 
 WINDOW = 2048
@@ -191,8 +191,8 @@ def pack_documents(
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(
-        lambda it: _pack_partition(it, tokenizer, ranks, window, end_id, max_open), SCHEMA
+    return map_arrow(
+        docs.select(docs["doc_id"].cast("long"), docs["text"]), lambda it: _pack_partition(it, tokenizer, ranks, window, end_id, max_open), SCHEMA
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .langid import op8_language_id
 from .packing import op2_packing
+from .quality import op5_quality
+from .toxicity import op3_toxicity
 
-QUERIES = {"op2_packing": op2_packing}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op5_quality, op8_language_id)}
 ORACLE: dict[str, str] = {}
