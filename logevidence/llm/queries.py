@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .langid import op8_language_id
+from .neighbours import op1_neighbours
 from .packing import op2_packing
 from .quality import op5_quality
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op5_quality, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_packing, op3_toxicity, op5_quality, op8_language_id)}
 ORACLE: dict[str, str] = {}
