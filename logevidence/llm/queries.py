@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .langid import op8_language_id
+from .licences import OP6_SQL, op6_licences
 from .neighbours import op1_neighbours
 from .packing import op2_packing
+from .privacy import op7_privacy
 from .quality import op5_quality
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_packing, op3_toxicity, op5_quality, op8_language_id)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_neighbours, op2_packing, op3_toxicity, op5_quality, op6_licences, op7_privacy, op8_language_id, op9_decontamination,
+    )
+}
+ORACLE: dict[str, str] = {"op6_licences": OP6_SQL}
