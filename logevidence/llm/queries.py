@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .jaccard import op10_jaccard_join
 from .langid import op8_language_id
 from .licences import OP6_SQL, op6_licences
 from .neighbours import op1_neighbours
@@ -15,6 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neighbours, op2_packing, op3_toxicity, op5_quality, op6_licences, op7_privacy, op8_language_id, op9_decontamination,
+        op10_jaccard_join,
     )
 }
 ORACLE: dict[str, str] = {"op6_licences": OP6_SQL}
