@@ -10,12 +10,13 @@ from .neighbours import op1_neighbours
 from .packing import op2_packing
 from .privacy import op7_privacy
 from .quality import op5_quality
+from .suffixes import op4_repeats
 from .toxicity import op3_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_neighbours, op2_packing, op3_toxicity, op5_quality, op6_licences, op7_privacy, op8_language_id, op9_decontamination,
+        op1_neighbours, op2_packing, op3_toxicity, op4_repeats, op5_quality, op6_licences, op7_privacy, op8_language_id, op9_decontamination,
         op10_jaccard_join,
     )
 }
