@@ -39,6 +39,15 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def carried(docs: DataFrame, carry: bool) -> list[Column]:
+    """The whole row as one column, if wanted; its own names can't clash with those of an operator."""
+    return [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else []
+
+
+def carried_schema(docs: DataFrame, carry: bool) -> str:
+    return f", row {docs.schema.simpleString()}" if carry else ""
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key's text, modulo ``parts``; null for a null key."""
     return F.crc32(key.cast("string")) % parts

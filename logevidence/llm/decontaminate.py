@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import carried, carried_schema, map_arrow, table
 from .textbytes import chunks, lower_ascii, raw_texts, word_hashes, words
 
 WINDOW = 13
@@ -101,9 +101,20 @@ class Benchmark:
         return np.concatenate(found_w), np.concatenate(found_p)
 
 
-def _match(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.RecordBatch]:
+def joined(stretches: list[dict]) -> list[dict]:
+    """Stretches that touch or overlap become one."""
+    out: list[dict] = []
+    for s in sorted(stretches, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            out[-1]["last"] = max(out[-1]["last"], s["last"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _match(batches: Iterator[pa.RecordBatch], bench: Benchmark, more: bool) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches):
-        seq, off = word_sequence(chunk.column(1))
+        seq, off = word_sequence(chunk.column(chunk.schema.get_field_index("text")))
         n_words = np.diff(off)
         row_of = np.repeat(np.arange(chunk.num_rows), n_words)
         row_end = off[1:][row_of]
@@ -131,12 +142,21 @@ def _match(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.R
                 r, item = int(row_of[p[a]]), bench.items[bench.item[w[a]]]
                 found = (int(p[b] - p[a] + bench.length[w[b]]), -int(p[a] - off[r]))
                 items[r][item] = max(found, items[r].get(item, (0, 0)))
+        names = chunk.schema.names
+        if "hits" in names:  # what passes with other blocks of the benchmark have found
+            for mine, theirs in zip(hits, chunk.column(names.index("hits")).to_pylist(), strict=True):
+                mine[:] = joined(mine + theirs)
+            for mine, theirs in zip(items, chunk.column(names.index("items")).to_pylist(), strict=True):
+                for x in theirs:
+                    mine[x["item"]] = max((x["longest"], -x["at"]), mine.get(x["item"], (0, 0)))
+        carry = [n for n in ("row", "text") if n in names]
         yield pa.RecordBatch.from_arrays(
             [chunk.column(0), pa.array(n_words, pa.int64()),
              pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
              pa.array([[{"item": i, "longest": n, "at": -at} for i, (n, at) in sorted(d.items())] for d in items],
-                      pa.list_(pa.struct([("item", pa.string()), ("longest", pa.int64()), ("at", pa.int64())])))],
-            names=["doc_id", "n_words", "hits", "items"],
+                      pa.list_(pa.struct([("item", pa.string()), ("longest", pa.int64()), ("at", pa.int64())]))),
+             *(chunk.column(names.index(n)) for n in carry if n != "text" or more)],
+            names=["doc_id", "n_words", "hits", "items", *(n for n in carry if n != "text" or more)],
         )
 
 
@@ -149,56 +169,28 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list]:
         yield rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i).collect()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False
+) -> DataFrame:
     """``doc_id, n_words, hits, items`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
     ``hits`` are the maximal stretches of words (first, last) that lie inside an occurrence of a benchmark window, ``items``
     the items with an occurring window, each with the length and first word of its longest verbatim match. ``benchmark`` has
     ``item_id, text``; rows with a null in either, or without words, have no window; an item_id with several texts has the
     windows of all. Null documents have no words. Null ids stay null, repeated rows are each answered, an empty table gives
-    no rows. Runs jobs that fetch the benchmark; beyond ``block_bytes`` of it, one pass over the documents per block, whose
-    rows are joined.
+    no rows. With ``carry``, a column ``row`` holds the whole row of ``docs``. Runs jobs that fetch the benchmark; beyond
+    ``block_bytes`` of it, the documents go through one more pass per block, without a shuffle.
     """
-    read = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    found = docs.select(docs["doc_id"].cast("long"), docs["text"], *carried(docs, carry))
     context = docs.sparkSession.sparkContext
-    passes = []
-    for rows in blocks_of(benchmark, block_bytes):
-        bench = context.broadcast(Benchmark([r["item"] for r in rows], [r["text"] for r in rows], window))
-        passes.append(map_arrow(read, lambda it, b=bench: _match(it, b.value), SCHEMA))
-    if not passes:
-        bench = Benchmark([], [], window)
-        passes.append(map_arrow(read, lambda it: _match(it, bench), SCHEMA))
-    if len(passes) == 1:
-        return passes[0]
-    return merged(passes)
-
-
-def merged(passes: list[DataFrame]) -> DataFrame:
-    """The passes over one table as one: stretches of hits that touch or overlap are joined, matches of an item compared."""
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("items")).alias("items")
-    )  # one row per pass and document
-    joined = F.aggregate(
-        "hits", F.expr("cast(array() AS array<struct<first:bigint,last:bigint>>)"),
-        lambda done, h: F.when(
-            (F.size(done) > 0) & (h["first"] <= F.element_at(done, -1)["last"] + 1),
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], h["last"]).alias("last"))),
-            ),
-        ).otherwise(F.concat(done, F.array(h))),
-    )
-    best = F.transform(
-        F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item"]))),
-        lambda name: F.array_max(F.transform(
-            F.filter("items", lambda x: x["item"] == name), lambda x: F.struct(x["longest"].alias("longest"), (-x["at"]).alias("at"), x["item"].alias("item"))
-        )),
-    )
-    best = F.transform(best, lambda x: F.struct(x["item"].alias("item"), x["longest"].alias("longest"), (-x["at"]).alias("at")))
-    return every.select("doc_id", "n_words", joined.alias("hits"), best.alias("items"))
+    blocks = [context.broadcast(Benchmark([r["item"] for r in rows], [r["text"] for r in rows], window)) for rows in blocks_of(benchmark, block_bytes)]
+    blocks = blocks or [context.broadcast(Benchmark([], [], window))]
+    for i, block in enumerate(blocks):
+        more = i + 1 < len(blocks)
+        schema = SCHEMA + carried_schema(docs, carry) + ", text string" * more
+        order = [c for c in ("doc_id", "n_words", "hits", "items", "row", "text") if c in found.columns]
+        found = map_arrow(found.select(*order), lambda it, b=block, m=more: _match(it, b.value, m), schema)
+    return found
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -206,7 +198,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
     names = F.array_sort(F.transform("items", lambda x: x["item"]))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        *(c for c in found.columns if c == "row"), "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("items", lambda x: x["longest"])), F.lit(0)).alias("longest_match"),

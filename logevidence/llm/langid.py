@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, table
+from .common import carried, carried_schema, fold, map_arrow, table
 from .textbytes import chunks, lower_latin, raw_texts
 
 BUCKETS = 1 << 15
@@ -157,26 +157,26 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarr
             shares = [{}] * rows
         yield pa.RecordBatch.from_arrays(
             [chunk.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()),
-             pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))],
-            names=["doc_id", "lang_pred", "score", "shares"],
+             pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64())), *chunk.columns[3:]],
+            names=["doc_id", "lang_pred", "score", "shares", *chunk.schema.names[3:]],
         )
 
 
-def identify_languages(docs: DataFrame, labelled: DataFrame, penalty: float = 12.0) -> DataFrame:
+def identify_languages(docs: DataFrame, labelled: DataFrame, penalty: float = 12.0, carry: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score, shares`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
     ``shares`` maps the languages of the chosen set to their proportions, ``lang_pred`` is the largest (ties: the smaller
     name) and ``score`` its proportion. ``penalty`` is the gain in log-likelihood that one more language must bring. A text
     that is null or holds no letter, or any text when nothing is known of any language, is ``und`` with score 0. Null ids
     stay null, repeated rows are each answered, an empty table gives no rows. Runs the job that counts ``labelled``
-    (``lang``, ``text``); a null in either takes no part.
+    (``lang``, ``text``); a null in either takes no part. With ``carry``, a column ``row`` holds the whole row of ``docs``.
     """
     names, logs = learn_languages(labelled)
     # a letter of any script; Java's classes decide, in one native pass
-    read = docs.select(docs["doc_id"].cast("long"), docs["text"], F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    read = docs.select(docs["doc_id"].cast("long"), docs["text"], F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("letters"), *carried(docs, carry))
     shared = docs.sparkSession.sparkContext.broadcast(logs)  # fixed size per language
     return map_arrow(
-        read, lambda it: _predict(it, names, shared.value, penalty), "doc_id long, lang_pred string, score double, shares map<string,double>"
+        read, lambda it: _predict(it, names, shared.value, penalty), "doc_id long, lang_pred string, score double, shares map<string,double>" + carried_schema(docs, carry)
     )
 
 
