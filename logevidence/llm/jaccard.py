@@ -30,8 +30,10 @@ from .components import components
 from .textbytes import chunks, lower_ascii, mix, raw_texts, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
-#: Words (64 bits each) of a hashed bitmap.
-BITMAP = 16
+#: Least words (64 bits each) of a hashed bitmap. It has two bits or more per shingle; a power of two, so that it folds.
+BITMAP = 8
+#: Shingles that a task counts at once to find frequent ones.
+COUNTED = 1_500_000
 LEAF, FANOUT = 32, 8
 BLOCK_NODES = 2048
 BLOCK_TOKENS = 1 << 19
@@ -78,11 +80,41 @@ def node_ids(rows: np.ndarray, h: np.ndarray, count: int) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(batches, limit=8 << 20):
-        _, h = shingle_sets(chunk.column(0), shingle)
-        token, n = np.unique(h, return_counts=True)
+    held: list[np.ndarray] = []
+
+    def count() -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        held.clear()
         token, n = token[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    for chunk in chunks(batches):
+        held.append(shingle_sets(chunk.column(0), shingle)[1])
+        if sum(map(len, held)) >= COUNTED:
+            yield count()
+    yield count()
+
+
+def hashed_bitmaps(rows: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """One bitmap per row, of twice as many bits as it has shingles, rounded up to a power of two."""
+    width = np.maximum(1 << np.ceil(np.log2(np.maximum(2 * size, 1) / 64)).clip(0).astype(np.int64), BITMAP)
+    head = np.append(0, np.cumsum(width))
+    flags = np.zeros(int(head[-1]) * 64, dtype=np.uint8)
+    flags[head[rows] * 64 + (h % (width[rows] * 64).astype(np.uint64)).astype(np.int64)] = 1
+    raw = np.packbits(flags, bitorder="little").tobytes()
+    return [raw[8 * a : 8 * b] for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True)]
+
+
+def folded(raw: list[bytes], width: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of ``width`` words (the least that one of them has), longer ones folded by OR."""
+    words_of = np.array([len(x) // 8 for x in raw])
+    width = width or int(words_of.min())
+    out = np.empty((len(raw), width), dtype=np.uint64)
+    for w in np.unique(words_of):
+        some = np.flatnonzero(words_of == w)
+        part = np.frombuffer(b"".join(raw[i] for i in some.tolist()), np.uint64).reshape(len(some), w // width, width)
+        out[some] = np.bitwise_or.reduce(part, axis=1)
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -102,29 +134,44 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, shingle:
         starts = np.cumsum(size) - size
         nth = np.arange(len(token)) - starts[rows]
         keep = nth < (size - (percent * size + 99) // 100 + 1)[rows]
-        bit = (h % np.uint64(BITMAP * 64)).astype(np.int64)
-        bits = np.zeros((count, BITMAP * 64), dtype=np.uint8)
-        bits[rows, bit] = 1
-        bits = np.packbits(bits, axis=1, bitorder="little")
+        node = node_ids(rows, h, count)
+        keep &= np.isin(rows, np.unique(node, return_index=True)[1])  # one row of a class stands for all that are seen here
+        bits = hashed_bitmaps(rows, h, size)
         cut = np.append(0, np.cumsum(np.bincount(rows[keep], minlength=count)))
         yield pa.RecordBatch.from_arrays(
-            [chunk.column(0), pa.array(size, pa.int64()), pa.array(node_ids(rows, h, count)),
+            [chunk.column(0), pa.array(size, pa.int64()), pa.array(node),
              pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(token[keep].view(np.int64))),
-             pa.array([b.tobytes() for b in bits], pa.binary())],
+             pa.array([x if b > a else None for x, a, b in zip(bits, cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())],
             names=["doc_id", "n_shingles", "node", "prefix", "bits"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts whose set is that of the given node. Columns: text, node, job, c, t."""
     for chunk in chunks(batches):
         rows, h = shingle_sets(chunk.column(0), shingle)
         cut = np.searchsorted(rows, np.arange(chunk.num_rows + 1))
+        node = node_ids(rows, h, chunk.num_rows)
+        some = np.flatnonzero(node == chunk.column(1).to_numpy())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node_ids(rows, h, chunk.num_rows)), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-            names=["node", "tokens"],
+            [*(chunk.column(i).take(pa.array(some)) for i in range(1, 5)), pa.array(np.diff(cut)[some], pa.int64()),
+             pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some.tolist()], pa.binary())],
+            names=["node", "job", "c", "t", "n_shingles", "tokens"],
         )
 
 
+def like_widths(raw: list[bytes], a: int, b: int) -> Iterator[np.ndarray]:
+    """The places a..b in groups of one bitmap width and the next; sets further apart differ too much in size to link.
+
+    So no bitmap is folded until it is full.
+    """
+    width = np.array([len(x) for x in raw[a:b]])
+    for w in np.unique(width).tolist():
+        part = a + np.flatnonzero((width == w) | (width == 2 * w))
+        if len(part) > 1 and (width == w).any():
+            yield part
+
+
 class Forest:
     """Components of a job's sets, as labels."""
 
@@ -246,28 +293,31 @@ def _link_jobs(batches: Iterator[pa.RecordBatch], bitmaps: Callable[[list[bytes]
     for jobs in _jobs(batches):
         key = np.column_stack([jobs.column(i).to_numpy() for i in range(3)])
         node, size = jobs.column(3).to_numpy(), jobs.column(4).to_numpy()
-        raw = jobs.column(5).combine_chunks()
-        raw = raw.to_pylist() if exact else np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(node), -1)
+        raw = jobs.column(5).to_pylist()
         start = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)
         end = np.append(start[1:], len(key))
         u, v = [], []
-        if not exact:  # jobs of two sets, all at once
+        if not exact:  # jobs of two sets, all of one width at once
             two = start[end - start == 2]
-            b, s = raw[two], size[two]
-            c, t = raw[two + 1], size[two + 1]
+            width = np.array([min(len(raw[i]), len(raw[i + 1])) // 8 for i in two.tolist()], dtype=np.int64)
             test = SignatureTree.__new__(SignatureTree)
             test.percent, test.exact = percent, False
             ones = lambda x: np.bitwise_count(x).sum(axis=1).astype(np.int64)
-            some = two[test.may_link((b, s, s, ones(b)), (c, t, t, ones(c)))] if len(two) else two
-            u.append(node[some])
-            v.append(node[some + 1])
+            for w in np.unique(width).tolist():
+                for at in np.array_split(two[width == w], max(1, int((width == w).sum()) * w // 500_000)):
+                    x, y = (folded([raw[i] for i in (at + k).tolist()], w) for k in (0, 1))
+                    s, t = size[at], size[at + 1]
+                    some = at[test.may_link((x, s, s, ones(x)), (y, t, t, ones(y)))]
+                    u.append(node[some])
+                    v.append(node[some + 1])
         for a, b in zip(start.tolist(), end.tolist(), strict=True):
             if b - a < 2 or (b - a == 2 and not exact):
                 continue
-            label = SignatureTree(bitmaps(raw[a:b]), size[a:b], percent, exact).links()
-            own = np.flatnonzero(label != np.arange(b - a))
-            u.append(node[a:b][own])
-            v.append(node[a:b][label[own]])
+            for part in [np.arange(a, b)] if exact else like_widths(raw, a, b):
+                label = SignatureTree(bitmaps([raw[i] for i in part.tolist()]), size[part], percent, exact).links()
+                own = np.flatnonzero(label != np.arange(len(part)))
+                u.append(node[part][own])
+                v.append(node[part][label[own]])
         u, v = np.concatenate(u), np.concatenate(v)
         both = np.unique(np.column_stack([np.maximum(u, v), np.minimum(u, v)]), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["u", "v"])
@@ -277,10 +327,6 @@ def _exact(raw: list[bytes]) -> np.ndarray:
     return exact_bitmaps([np.frombuffer(x, np.uint64) for x in raw])
 
 
-def _hashed(raw: np.ndarray) -> np.ndarray:
-    return raw
-
-
 def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
     """``job`` with its pairs of blocks: one job where ``blocks`` is 1, else one for each two blocks."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -300,10 +346,12 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
     Words are what stands between ASCII white space, A-Z in lower case. A text without words, or null, has no shingle and
     links with nothing. ``component_id`` is the smallest doc_id reachable by links; rows that share a doc_id are one document.
-    A null doc_id has a null component and lends nothing to those of others. An empty table gives no rows. Writes its
+    A null doc_id has a null component and lends nothing to those of others. An empty table gives no rows. ``percent`` is over 50. Writes its
     intermediate tables to the shared folder and runs the jobs for that. The ids of documents with candidate links go to the
     tasks that read their texts again if there are at most ``most_sent`` of them; else both are shuffled.
     """
+    if percent <= 50:
+        raise ValueError("percent must be over 50")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
@@ -317,24 +365,25 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         "doc_id long, n_shingles long, node long, prefix array<long>, bits binary",
     ))
     real = every.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = scratch.write(real.groupBy("node").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_shingles", "prefix", "bits"))))
-
-    rows = nodes.select(F.explode("prefix").alias("token"), "node").repartition("token")
+    first = real.where("bits IS NOT NULL")  # at least one row of each node, at most one per chunk of text
+    nodes = first.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    rows = first.select(F.explode("prefix").alias("token"), "node").repartition("token").dropDuplicates(["token", "node"])
     print_ = F.xxhash64("node")
     buckets = rows.groupBy("token").agg(
         F.count("*").alias("c"), F.bit_xor(print_).alias("x"), F.sum(print_.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.min("node").alias("low"), F.max("node").alias("high")
     ).where("c > 1")
     buckets = buckets.groupBy("c", "x", "s", "low", "high").agg(F.min("token").alias("token")).select("token", "c")
-    held = rows.join(buckets, "token").withColumnRenamed("token", "job").join(nodes.select("node", "n_shingles", "bits"), "node")
+    held = rows.join(buckets, "token").withColumnRenamed("token", "job").join(nodes, "node")
     blocks = F.when(F.col("c") <= BLOCK_NODES, 1).otherwise(F.ceil(2 * F.col("c") / BLOCK_NODES)).cast("long")
-    near = map_arrow(_together(_dealt(held, blocks), "bits"), lambda it: _link_jobs(it, _hashed, percent, False), "u long, v long")
+    near = map_arrow(_together(_dealt(held, blocks), "bits"), lambda it: _link_jobs(it, folded, percent, False), "u long, v long")
 
-    groups = scratch.write(components(near, scratch).join(nodes.select("node", "doc_id", "n_shingles"), "node"))
+    owners = first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    groups = scratch.write(components(near, scratch).join(owners, "node"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
-    wanted = groups.select("doc_id").distinct()
-    again = docs.join(F.broadcast(wanted) if groups.count() <= most_sent else wanted, "doc_id", "left_semi")
-    sets = map_arrow(again.select("text"), lambda it: _sets(it, shingle), "node long, tokens binary")
-    sets = sets.join(groups.join(sizes, "root").select("node", "n_shingles", F.col("root").alias("job"), "c", "t"), "node").dropDuplicates(["node"])
+    wanted = groups.join(sizes, "root").select(F.col("doc_id").alias("owner"), "node", F.col("root").alias("job"), "c", "t")
+    wanted = F.broadcast(wanted) if groups.count() <= most_sent else wanted
+    again = docs.join(wanted, docs["doc_id"] == wanted["owner"]).select("text", "node", "job", "c", "t")
+    sets = map_arrow(again, lambda it: _sets(it, shingle), "node long, job long, c long, t long, n_shingles long, tokens binary")
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("t") / BLOCK_TOKENS))
     blocks = F.when((F.col("c") <= BLOCK_NODES) & (F.col("t") <= 2 * BLOCK_TOKENS), 1).otherwise(F.greatest(F.lit(2), 2 * blocks)).cast("long")
     true = map_arrow(_together(_dealt(sets, blocks), "tokens"), lambda it: _link_jobs(it, _exact, percent, True), "u long, v long")
