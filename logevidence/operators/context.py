@@ -54,7 +54,7 @@ def trailing_context(
     # a row that starts an event is never anybody's context, so its text stays behind
     line = F.when(~starts_event(), elide(F.col("payload"), max_payload_chars)[0])
     # exactly these columns go through the exchange, whichever of the two uses reads it
-    narrow = logs.where(F.col("source").isNotNull()).select(
+    narrow = logs.select(
         "seq", "source", chunk_of(F.col("seq"), chunk_rows).alias("chunk"),
         F.struct(kind.alias("kind"), line.alias("line")).alias("item"),
     )
@@ -83,8 +83,10 @@ def trailing_context(
     )
     none = F.array().cast("array<struct<kind:int,line:string>>")
     lines = F.slice(F.concat("lines", F.coalesce("carry", none)), 1, n)
+    carries = carries.select(F.col("source").alias("of"), F.col("chunk").alias("at"), "carry")
     return (
-        rows.join(carries, ["source", "chunk"], "left")
+        # rows without a source have contexts too
+        rows.join(carries, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at")), "left")
         .withColumn("lines", lines)
         .select(
             "seq",
@@ -116,7 +118,7 @@ def context_of(
     oldest_anchor = anchors.agg(F.min("seq")).scalar()
     seq = F.col("l.seq")
     in_stretch = (
-        (F.col("l.source") == F.col("a.source"))
+        F.col("l.source").eqNullSafe(F.col("a.source"))
         & (seq >= F.col("a.anchor"))
         & (F.col("a.until").isNull() | (seq < F.col("a.until")))
     )

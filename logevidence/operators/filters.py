@@ -33,19 +33,101 @@ _ASCII_CLASSES = {
 _BIGGEST_SEQ = (1 << 63) - 1
 
 
+def _bracket(pattern: str, at: int) -> tuple[str, int]:
+    """The bracketed class that opens at ``at`` in Java's syntax, and the place after it.
+
+    ``&&`` (intersection) means the same in both dialects, ``--`` (difference) becomes an
+    intersection with a complement, ``~~`` (symmetric difference) is refused. A ``]`` right
+    after the opening stands for itself.
+    """
+    out, i = ["["], at + 1
+    if pattern[i : i + 1] == "^":
+        out.append("^")
+        i += 1
+    if pattern[i : i + 1] == "]":
+        out.append("\\]")
+        i += 1
+    while i < len(pattern):
+        c, two = pattern[i], pattern[i : i + 2]
+        if c == "]":
+            return "".join(out) + "]", i + 1
+        if c == "\\":
+            out.append(two)
+            i += 2
+        elif named := re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:]):
+            if named[2] not in _ASCII_CLASSES:
+                raise ValueError(f"no character class is named {named[2]!r}")
+            out.append(f"[^{_ASCII_CLASSES[named[2]]}]" if named[1] else _ASCII_CLASSES[named[2]])
+            i += len(named[0])
+        elif c == "[":
+            inner, i = _bracket(pattern, i)
+            out.append(inner)
+        elif two == "~~":
+            raise ValueError("the symmetric difference of classes is not supported")
+        elif two == "--" and len(out) > 1 and out != ["[", "^"]:
+            # what stands before is one operand: [a--b] is [[a]&&[^b]], [^a--b] is [[^a]b]
+            negated = out[1:2] == ["^"]
+            first = "".join(out[2:] if negated else out[1:])
+            rest, i = _operand(pattern, i + 2)
+            if negated and (pattern[i : i + 1] != "]" or "[" in first):
+                raise ValueError("a negated class may hold one difference of plain members")
+            out = ["[", f"[^{first}]{rest}"] if negated else ["[", f"[{first}]&&{_complement(rest)}"]
+        else:
+            out.append(c)
+            i += 1
+    raise ValueError("a bracketed class is not closed")
+
+
+def _complement(members: str) -> str:
+    """The class of all characters that are none of ``members`` (which may be one class in brackets)."""
+    inner = members[1:-1] if members.startswith("[") and members.find("]") == len(members) - 1 else members
+    if "[" in inner:
+        raise ValueError("a difference of nested classes is not supported")
+    return f"[{inner[1:]}]" if inner is not members and inner.startswith("^") else f"[^{inner}]"
+
+
+def _operand(pattern: str, at: int) -> tuple[str, int]:
+    """The members of a class up to the next set operator or the closing bracket."""
+    out, i = [], at
+    while i < len(pattern) and pattern[i] != "]" and pattern[i : i + 2] not in ("--", "&&", "~~"):
+        if pattern[i] == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+        elif pattern[i] == "[":
+            named = re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:])
+            inner, i = ("[" + pattern[i : i + len(named[0])] + "]", i + len(named[0])) if named else _bracket(pattern, i)
+            out.append(_bracket(inner, 0)[0] if named else inner)
+        else:
+            out.append(pattern[i])
+            i += 1
+    return "".join(out), i
+
+
 def java_pattern(pattern: str) -> str:
     """A user pattern in the dialect of Spark's regular expressions.
 
     The accepted dialect is the linear-time one: Unicode classes, ``.`` excludes only ``\\n``,
-    no look-around and no back-references (``ValueError``).
+    no look-around and no back-references (``ValueError``). Bracketed classes are translated.
     """
-    probe = pattern.replace("\\\\", "")
-    if _UNSUPPORTED.search(probe):
+    out, outside, i = [], [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            step = pattern[i : i + 2]
+            out.append(step)
+            outside.append("" if step == "\\\\" else step)
+            i += 2
+        elif pattern[i] == "[":
+            text, i = _bracket(pattern, i)
+            out.append(text)
+            outside.append("[]")
+        else:
+            out.append(pattern[i])
+            outside.append(pattern[i])
+            i += 1
+    probe = "".join(outside)
+    if _UNSUPPORTED.search(probe) or re.search(r"\\k<", probe):
         raise ValueError("look-around, back-references and the U flag are not supported")
-    text = pattern.replace("(?P<", "(?<")
-    for name, ranges in _ASCII_CLASSES.items():
-        text = text.replace(f"[:{name}:]", ranges)
-    return f"(?Ud){text}"
+    return "(?Ud)" + "".join(out).replace("(?P<", "(?<")
 
 
 def check_pattern(pattern: str, name: str = "grep") -> str:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..schema import DEFAULT_CAPACITY
 from .order import retain_newest
 
 
@@ -17,12 +16,12 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def dedup_by_seq(history: DataFrame, *later: DataFrame, keep: int | None = DEFAULT_CAPACITY) -> DataFrame:
+def dedup_by_seq(history: DataFrame, *later: DataFrame, keep: int | None = None) -> DataFrame:
     """History and later batches as one log; where a seq occurs twice the later batch wins.
 
     Rows of the (large) history are only filtered by an anti-join on ``seq``, never regrouped.
     ``history`` is a retained log and holds each seq once; a later batch may repeat rows.
-    ``keep`` then retains the newest rows.
+    ``keep`` then retains the newest rows; by default all stay.
     """
     merged = history
     for batch in later:

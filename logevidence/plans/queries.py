@@ -39,10 +39,8 @@ def _count(name: str, value, least: int, most: int | None) -> int:
 class QueryArgs:
     """Arguments of a query, checked when it is made.
 
-    A malformed value raises ``ValueError``: a filter that is silently dropped would look
-    like a clean result. ``limit`` and ``max_payload_chars`` are lowered to their maximum,
-    because the answer shows it; ``context_lines`` is not, because nothing would. Empty
-    text counts as absent.
+    A malformed value, or one over its maximum, raises ``ValueError``: an argument that is
+    silently changed would look like a clean result. Empty text counts as absent.
     """
 
     grep: str | None = None
@@ -65,7 +63,7 @@ class QueryArgs:
         for name, most in (("limit", MAX_LIMIT), ("max_payload_chars", MAX_PAYLOAD_CHARS)):
             value = getattr(self, name)
             if value is not None:
-                object.__setattr__(self, name, min(_count(name, value, 1, None), most))
+                _count(name, value, 1, most)
         if self.context_lines is not None:
             _count("context_lines", self.context_lines, 0, MAX_CONTEXT_LINES)
         if self.cursor is not None:
@@ -123,7 +121,7 @@ def recent_errors(logs: DataFrame, **arguments) -> Result:
     anchors = shown.select(F.col("last_seq").alias("seq"), F.col("last_source").alias("source"))
     found = context_of(logs, anchors, lines, args.payload_chars).withColumnRenamed("seq", "last_seq")
     rows = (
-        found.join(F.broadcast(shown), "last_seq")
+        F.broadcast(shown).join(found, "last_seq", "left")  # every counted group is answered
         .orderBy(F.col("last_seen").desc(), F.col("first_seq").asc())
         .select("fingerprint", "count", "sources", "level", "first_seen", "last_seen", "sample", "context")
     )

@@ -46,11 +46,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset (tests,
-    a laptop) is a temporary folder chosen and recorded in the session.
+    ``spark.checkpoint.dir`` names it on a cluster; only a local session (tests, a laptop) may
+    leave it unset, and gets a temporary folder, recorded in the session. Elsewhere that is an
+    error: executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("logevidence.staging.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="logevidence-")
         spark.conf.set("logevidence.staging.dir", root)
     return root.rstrip("/")

@@ -60,7 +60,7 @@ def sources_from_config(
     process_output: dict[str, str] | None = None,
     stdin_lines: DataFrame | None = None,
 ) -> DataFrame | None:
-    """All configured sources merged, or null when none is configured.
+    """All configured sources merged, or null when none is configured, with the columns that give their lines' order.
 
     Commands are not run and no container socket is opened: their lines come in as files.
     """
@@ -71,7 +71,7 @@ def sources_from_config(
             raise ValueError("`docker = true` needs `container_logs`, the folder of container log files")
         frames.append(read_containers(spark, container_logs, stream=stream))
     for entry in sources.get("file", []):
-        frames.append(read_lines(spark, entry["path"], entry.get("label"), stream))
+        frames.append(read_lines(spark, entry["path"], entry.get("label"), stream, positions=True))
     for entry in sources.get("process", []):
         output = (process_output or {}).get(entry["label"])
         if output is None:
@@ -80,6 +80,5 @@ def sources_from_config(
     if "stdin" in sources:
         if stdin_lines is None:
             raise ValueError("`stdin` needs `stdin_lines`, a DataFrame of lines")
-        frames.append(from_lines(stdin_lines, stdin_lines.columns[0], sources["stdin"]))
-    frames = [f.select("timestamp", "source", "level", "payload") for f in frames]
+        frames.append(from_lines(stdin_lines, stdin_lines.columns[0], sources["stdin"], positions=True))
     return merge_sources(*frames) if frames else None

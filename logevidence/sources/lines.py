@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.levels import detect_level
 from ..functions.text import strip_line_ending
 from ..functions.timeparse import instant_literal
-from ..schema import TAIL_LINES
 from ..session import prepare
 
 # Where a line stood in its file. Together these give the arrival order of lines read at the same time.
 # A streaming plan cannot number lines; there the id is added to each micro-batch when it is appended.
-FILE_POSITION = ("file", "block_start")
+# Older files come first; of a rotated set that was written at one time, the higher suffix is the older one.
+FILE_POSITION = ("file_time", "rotation", "file", "block_start")
 LINE_ID = "line_id"
 POSITION = (*FILE_POSITION, LINE_ID)
 
@@ -27,13 +27,23 @@ def from_lines(
     keep_empty: bool = False,
     kind: str = "lines",
     extra: tuple[str, ...] = (),
+    positions: bool = False,
 ) -> DataFrame:
     """Log records of any batch or streaming DataFrame of lines under one label (or a label column).
 
     Without ``ts_col`` a record is stamped with the time it is read. Empty lines are dropped
-    unless ``keep_empty`` (captured process output keeps them).
+    unless ``keep_empty`` (captured process output keeps them). ``positions`` adds the columns of
+    ``POSITION``: the lines of a batch are numbered as the DataFrame holds them, those of a stream
+    when their micro-batch is appended.
     """
     prepare(df.sparkSession)
+    if positions:
+        df = df.select(
+            "*", F.lit(None).cast("timestamp").alias("file_time"), F.lit(0).alias("rotation"),
+            F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("block_start"),
+            *([] if df.isStreaming else [F.monotonically_increasing_id().alias(LINE_ID)]),
+        )
+        extra = (*extra, *FILE_POSITION, *(() if df.isStreaming else (LINE_ID,)))
     payload = strip_line_ending(F.col(text_col), kind)
     label = F.lit(source) if isinstance(source, str) else source
     records = df.select(
@@ -73,6 +83,8 @@ def read_lines(
         "value",
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+        (-F.coalesce(F.regexp_extract("_metadata.file_name", r"\.(\d{1,9})$", 1).try_cast("int"), F.lit(0))).alias("rotation"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
     extra = FILE_POSITION if positions else ()
@@ -88,20 +100,24 @@ def container_name() -> Column:
 
 
 def read_containers(
-    spark: SparkSession, path: str, tail: int | None = TAIL_LINES, stream: bool = False
+    spark: SparkSession, path: str, tail: int | None = None, stream: bool = False, positions: bool = True
 ) -> DataFrame:
-    """Log records of a folder of container logs, one file per container.
+    """Log records of a folder of container logs, one file per container and its rotated predecessors.
 
-    A batch read starts with the last ``tail`` lines of every container; a stream takes all new files.
+    All lines are read; ``tail`` keeps the last lines of every container, the newest file's first (batch only).
     """
-    records = read_lines(spark, path, container_name(), stream, kind="container", positions=stream or tail is not None)
-    if stream or tail is None:
+    if stream and tail is not None:
+        raise ValueError("`tail` is for batch reads; a stream takes every line of its files")
+    records = read_lines(spark, path, container_name(), stream, kind="container", positions=positions or tail is not None)
+    if tail is None:
         return records
     # the ranking limit applies before the shuffle, so at most `tail` rows per container and split move
     newest_first = Window.partitionBy("source").orderBy(*[F.col(c).desc() for c in POSITION])
     return records.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= tail).drop("r")
 
 
-def read_process_output(spark: SparkSession, path: str | list[str], label: str, stream: bool = False) -> DataFrame:
+def read_process_output(
+    spark: SparkSession, path: str | list[str], label: str, stream: bool = False, positions: bool = True
+) -> DataFrame:
     """Log records of a process's captured output; empty lines are kept."""
-    return read_lines(spark, path, label, stream, kind="lines", keep_empty=True)
+    return read_lines(spark, path, label, stream, kind="lines", keep_empty=True, positions=positions)

@@ -1,8 +1,8 @@
 """The retained log: a Parquet table of sequenced records that batches are appended to.
 
-Layout: ``<path>/stream=<id>/batch=<n>/*.parquet``. A batch owns its folder, so repeating a
-batch (after a failure) overwrites its own rows and nothing else. ``<path>/_last/...`` holds the
-highest seq after each batch, so that the next batch does not have to look through the table.
+Layout: ``<path>/stream=<id>/batch=<n>/*.parquet``. A batch owns its folder, which is written once: a
+batch that is repeated after a failure leaves what is there. ``<path>/_last/...`` holds the highest
+seq after each batch, so that the next batch does not have to look through the table.
 Seq rises with the batches, so file and row-group statistics on ``seq`` and ``timestamp`` let readers
 skip what lies outside a cursor or a time range. One writer at a time.
 """
@@ -37,20 +37,34 @@ def read_log_table(spark: SparkSession, path: str, stream: bool = False) -> Data
         return spark.createDataFrame([], LOG_SCHEMA)  # nothing was ever written
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _marked(spark: SparkSession, path: str, stream_id: str, batch_id: int) -> int | None:
+    """Highest seq after a finished batch, null when it has not been finished."""
+    mark = f"{path}/_last/stream={stream_id}/batch={batch_id}"
+    if not _exists(spark, f"{mark}/_SUCCESS"):
+        return None
+    return spark.read.schema(_LAST_SCHEMA).parquet(mark).first()["seq"]
+
+
 def _last_seq_before(spark: SparkSession, path: str, stream_id: str, batch_id: int) -> int:
     """Highest seq in the table before this batch."""
     if batch_id > 0:
-        try:
-            row = spark.read.schema(_LAST_SCHEMA).parquet(f"{path}/_last/stream={stream_id}/batch={batch_id - 1}").first()
-            if row is not None:
-                return row["seq"]
-        except AnalysisException:
-            pass  # written by an older stream or cleaned up: ask the table
+        last = _marked(spark, path, stream_id, batch_id - 1)
+        if last is not None:
+            return last  # else written by an older stream or cleaned up: ask the table
+    if not _exists(spark, path):
+        return 0
+    own = (F.col("stream") == stream_id) & (F.col("batch") >= batch_id)
     try:
         table = spark.read.schema(_TABLE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
-    own = (F.col("stream") == stream_id) & (F.col("batch") >= batch_id)
     return table.where(~own).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
 
@@ -59,22 +73,27 @@ def append_batch(
 ) -> int:
     """Number the records of one batch in arrival order and append them; returns the highest seq.
 
-    Idempotent per ``(stream_id, batch_id)``. The default order is the position columns of
-    `read_lines` where present, else ``timestamp, source, payload``.
+    The order is ``order_by``, else the position columns of `read_lines` (time read, then age of the
+    file, file and line); a batch that has neither is refused, since equal timestamps would leave
+    its order to chance. The batch's folder is written once: when ``(stream_id, batch_id)`` comes
+    again, what is there stands, so that readers of the table never see its rows twice.
     """
     spark = batch.sparkSession
+    done = _marked(spark, path, stream_id, batch_id)
+    if done is not None:
+        return done
     if not order_by:
-        if set(FILE_POSITION) <= set(batch.columns):
-            if LINE_ID not in batch.columns:
-                batch = batch.withColumn(LINE_ID, F.monotonically_increasing_id())
-            order_by = ("timestamp", *FILE_POSITION, LINE_ID)
-        else:
-            order_by = ("timestamp", "source", "payload")
+        if not set(FILE_POSITION) <= set(batch.columns):
+            raise ValueError("the batch has no position columns (`positions=True` of the readers): give `order_by`")
+        if LINE_ID not in batch.columns:
+            batch = batch.withColumn(LINE_ID, F.monotonically_increasing_id())
+        order_by = ("timestamp", *FILE_POSITION, LINE_ID)
     last = _last_seq_before(spark, path, stream_id, batch_id)
     folder = f"{path}/stream={stream_id}/batch={batch_id}"
-    batch = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    numbered = assign_seq(batch, *order_by, start=last + 1).select(*[f.name for f in LOG_SCHEMA.fields])
-    numbered.write.mode("overwrite").parquet(folder)
+    if not _exists(spark, f"{folder}/_SUCCESS"):
+        batch = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        numbered = assign_seq(batch, *order_by, start=last + 1).select(*[f.name for f in LOG_SCHEMA.fields])
+        numbered.write.mode("overwrite").parquet(folder)
     written = spark.read.schema(LOG_SCHEMA).parquet(folder).agg(F.max("seq")).first()[0]
     last = last if written is None else written
     mark = spark.range(1).select(F.lit(last).cast("bigint").alias("seq")).coalesce(1)
@@ -93,7 +112,7 @@ def append_logs(
     """Start the ingest of a stream of records into the retained log.
 
     ``condition`` filters before retention: what it drops never gets a seq. Exactly once:
-    the checkpoint replays a failed batch under the same id, which overwrites its own folder.
+    the checkpoint replays a failed batch under the same id, which finds its folder written.
     Trigger arguments go to ``writeStream.trigger`` (e.g. ``availableNow=True``).
     """
     stream_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]

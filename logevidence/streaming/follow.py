@@ -12,7 +12,6 @@ from ..operators.filters import filter_logs
 from ..operators.horizon import record_envelope
 from ..operators.merge import dedup_by_seq
 from ..plans.queries import Result, elided_records, json_records
-from ..schema import DEFAULT_CAPACITY
 
 
 def follow(stream: DataFrame, **conditions) -> DataFrame:
@@ -40,13 +39,13 @@ def unique_by_seq(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def hydrate_and_follow(
-    history: Callable[[], DataFrame], stream: DataFrame, live_path: str, checkpoint: str, **trigger
+    history: Callable[[], DataFrame], stream: DataFrame, live_path: str, checkpoint: str, keep: int | None = None, **trigger
 ) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
     """Follow a stream and see it together with the history, without gap and without doubles.
 
     The stream is started first and lands its rows under ``live_path``; the history is read
     afterwards, so a row may be in both, never in neither. Returns the running query and a
-    function giving the merged view (newest ``DEFAULT_CAPACITY`` rows) as of its call.
+    function giving the merged view (all rows, or the newest ``keep``) as of its call.
     """
     writer = stream.writeStream.format("parquet").option("path", live_path).option("checkpointLocation", checkpoint)
     query = (writer.trigger(**trigger) if trigger else writer).start()
@@ -55,9 +54,11 @@ def hydrate_and_follow(
     def view() -> DataFrame:
         try:
             live = [spark.read.schema(schema).parquet(live_path)]
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             live = []  # nothing has arrived yet
-        return dedup_by_seq(history(), *live, keep=DEFAULT_CAPACITY)
+        return dedup_by_seq(history(), *live, keep=keep)
 
     return query, view
 

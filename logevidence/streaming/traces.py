@@ -12,7 +12,6 @@ task per source) would not allow.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,13 +23,10 @@ _COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
 
 def _carried(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    empty = spark.createDataFrame([], LOG_SCHEMA)
     if batch_id == 0:
-        return empty
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/_open/batch={batch_id - 1}")
-    except AnalysisException:
-        return empty
+        return spark.createDataFrame([], LOG_SCHEMA)
+    # a missing state is an error: what was open would be lost without a word
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/_open/batch={batch_id - 1}")
 
 
 def trace_batch(

@@ -320,10 +320,10 @@ ORACLE = {
         " SELECT cursor, cursor + 1 < (SELECT lo FROM kept) OR cursor > (SELECT hi FROM kept) AS cursor_gap FROM c"
     ),
     "latest_matching": (
-        f"WITH {RAW} SELECT max(seq) AS seq FROM raw WHERE contains(payload, 'postgres:5435') AND contains(source, 'api')"
+        f"WITH {RAW} SELECT max(seq) AS seq FROM raw WHERE contains(payload, 'bucket:7734') AND contains(source, 'api')"
     ),
     "first_matching_after": (
-        f"WITH {RAW} SELECT min(seq) AS seq FROM raw WHERE contains(payload, 'postgres:5435') AND contains(source, 'api')"
+        f"WITH {RAW} SELECT min(seq) AS seq FROM raw WHERE contains(payload, 'bucket:7734') AND contains(source, 'api')"
         " AND seq > 400"
     ),
     "burst_from_anchor": wait_from(f"{IS_ERROR} AND contains(source, 'db') AND seq > 700", "min", 40),
@@ -351,7 +351,7 @@ ORACLE = {
     ),
     "ingest_filtered": (
         f"WITH {RAW} SELECT row_number() OVER (ORDER BY seq) AS seq, seq AS arrival, source, payload FROM raw"
-        " WHERE regexp_matches(payload, 'postgres|order') AND contains(source, 'api')"
+        " WHERE regexp_matches(payload, 'bucket|order') AND contains(source, 'api')"
     ),
     "merged_sources": (
         f"WITH {LOGS}, chat AS (SELECT 'chat-' || role AS source, text AS payload, {json_doc('text')} AS j FROM conversations)"

@@ -229,11 +229,11 @@ def cursor_gaps(spark, sf):
 
 
 def latest_matching(spark, sf):
-    return latest_match(logs(spark, sf), log_filter(grep="postgres:5435", source="api"))
+    return latest_match(logs(spark, sf), log_filter(grep="bucket:7734", source="api"))
 
 
 def first_matching_after(spark, sf):
-    return first_match_after(logs(spark, sf), log_filter(grep="postgres:5435", source="api"), 400)
+    return first_match_after(logs(spark, sf), log_filter(grep="bucket:7734", source="api"), 400)
 
 
 def burst_from_anchor(spark, sf):
@@ -292,7 +292,7 @@ def sequence_numbers(spark, sf):
 def ingest_filtered(spark, sf):
     """Rows dropped on ingest never get a number."""
     events = raw_logs(table(spark, sf, "events")).withColumnRenamed("seq", "arrival")
-    kept = events.where(log_filter(grep="postgres|order", source="api"))
+    kept = events.where(log_filter(grep="bucket|order", source="api"))
     return assign_seq(kept, "arrival").select("seq", "arrival", "source", "payload")
 
 
@@ -364,7 +364,7 @@ def streamed_ingest(spark, sf):
     """The stream of events appended to a log table, which numbers the records itself."""
     path = staging_path(spark, "log")
     stream = log_stream(spark, sf).drop("seq")
-    append_logs(stream, path, staging_path(spark, "run"), availableNow=True).awaitTermination()
+    append_logs(stream, path, staging_path(spark, "run"), order_by=("timestamp", "source", "payload"), availableNow=True).awaitTermination()
     return _records(read_log_table(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
 
 

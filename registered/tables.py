@@ -19,14 +19,14 @@ LOG_COLUMNS = {
  CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'api' WHEN 1 THEN 'web' WHEN 2 THEN 'worker' WHEN 3 THEN 'db' ELSE 'api-gateway' END""",
     "payload": """
  CASE
-  WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'ERROR connection refused: postgres:' || CAST(5432 + event_id % 7 AS VARCHAR(20))
+  WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'ERROR quota spent: bucket:' || CAST(7731 + event_id % 7 AS VARCHAR(20))
   WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'request ' || substring(md5(CAST(event_id AS VARCHAR(20))),1,8) || '-' || substring(md5(CAST(event_id AS VARCHAR(20))),9,4) || '-4' || substring(md5(CAST(event_id AS VARCHAR(20))),14,3) || '-a' || substring(md5(CAST(event_id AS VARCHAR(20))),18,3) || '-' || substring(md5(CAST(event_id AS VARCHAR(20))),21,12) || ' failed'
   WHEN event_type = 'error' AND event_id % 4 = 2 THEN '{"level":"error","msg":"timeout","user":' || CAST(user_id AS VARCHAR(20)) || '}'
   WHEN event_type = 'error' THEN 'TypeError: cannot read "field' || CAST(user_id AS VARCHAR(20)) || '" of undefined'
   WHEN event_type = 'view' AND event_id % 4 < 3 THEN '    at Handler.run (app.js:' || CAST(event_id % 97 AS VARCHAR(20)) || ':' || CAST(user_id AS VARCHAR(20)) || ')'
-  WHEN event_type = 'view' THEN 'Build finished with 0 errors'
+  WHEN event_type = 'view' THEN 'Check ended with 0 errors'
   WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'WARN slow query took ' || CAST(user_id AS VARCHAR(20)) || 'ms'
-  WHEN event_type = 'click' THEN '{"severity":' || CAST(event_id % 9 AS VARCHAR(20)) || ',"message":"error budget healthy"}'
+  WHEN event_type = 'click' THEN '{"severity":' || CAST(event_id % 9 AS VARCHAR(20)) || ',"message":"error share low"}'
   WHEN event_type = 'purchase' THEN 'INFO order 0x' || substring(md5(CAST(event_id AS VARCHAR(20))),1,8) || ' accepted'
   WHEN event_id % 3 = 0 THEN props
   WHEN event_id % 3 = 1 THEN '[debug] cache miss at 10.0.0.' || CAST(user_id AS VARCHAR(20)) || ':6379'

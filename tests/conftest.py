@@ -58,7 +58,7 @@ def apply(spark):
 
 
 FLOOD = (
-    [("web", "info", "compiled successfully")]
-    + [("api", "error", "ERROR connection refused: postgres:5432")] * 30
-    + [("api", "unknown", "    at Pool.connect (db.js:42)")]
+    [("web", "info", "bundle ready")]
+    + [("api", "error", "ERROR quota spent: bucket:7731")] * 30
+    + [("api", "unknown", "    at Writer.flush (store.js:17)")]
 )

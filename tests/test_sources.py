@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import os
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from logevidence.operators import log_filter
+from logevidence.plans import recent_errors
 from logevidence.sources import (
     append_batch, append_logs, compact, from_lines, parse_config, read_containers, read_lines, read_log_table,
     read_process_output, read_records, sources_from_config, write_records,
@@ -42,10 +44,71 @@ def test_process_output_keeps_empty_lines(spark, tmp_path):
 def test_containers_start_with_their_last_lines(spark, tmp_path):
     write(tmp_path / "logs" / "web.log", "".join(f"w{i}\n" for i in range(120)))
     write(tmp_path / "logs" / "db.log", "d0\nd1\n")
-    got = read_containers(spark, str(tmp_path / "logs" / "*"))
+    got = read_containers(spark, str(tmp_path / "logs" / "*"), tail=50)
     assert {r["payload"] for r in got.collect()} == {"d0", "d1"} | {f"w{i}" for i in range(70, 120)}
     assert {r["source"] for r in got.collect()} == {"web", "db"}
-    assert read_containers(spark, str(tmp_path / "logs" / "*"), tail=None).count() == 122
+    assert read_containers(spark, str(tmp_path / "logs" / "*")).count() == 122
+
+
+def test_the_tail_of_a_rotated_container_log_is_the_newest(spark, tmp_path):
+    write(tmp_path / "logs" / "web.log.1", "".join(f"old {i}\n" for i in range(60)))
+    write(tmp_path / "logs" / "web.log", "".join(f"new {i}\n" for i in range(60)))
+    for stamp in ((100, 200), (150, 150)):  # by age, and by suffix where the age is the same
+        for name, t in zip(("web.log.1", "web.log"), stamp):
+            os.utime(tmp_path / "logs" / name, (t, t))
+        got = read_containers(spark, str(tmp_path / "logs" / "*"), tail=50).collect()
+        assert {r["payload"] for r in got} == {f"new {i}" for i in range(10, 60)}
+
+
+def test_config_keeps_the_order_of_lines(spark, tmp_path):
+    text = ["INFO begins", "ERROR breaks", "at Zed", "at Abe", "INFO ends"]
+    file = write(tmp_path / "app.log", "\n".join(text))
+    config = {"sources": {"file": [{"path": file, "label": "app"}], "stdin": "pipe"}}
+    pipe = spark.createDataFrame([(t,) for t in text], "line string").coalesce(1)
+    path = str(tmp_path / "log")
+    append_batch(sources_from_config(spark, config, stdin_lines=pipe), path)
+    got = read_log_table(spark, path).orderBy("seq").collect()
+    assert [r["payload"] for r in got if r["source"] == "app"] == text == [r["payload"] for r in got if r["source"] == "pipe"]
+    assert recent_errors(read_log_table(spark, path), source="app").rows.first()["context"] == ["at Zed", "at Abe"]
+
+
+def test_a_batch_without_positions_is_refused(spark, tmp_path):
+    lines = from_lines(spark.createDataFrame([("b",), ("a",)], "t string").coalesce(1), "t", "s")
+    with pytest.raises(ValueError, match="order_by"):
+        append_batch(lines, str(tmp_path / "log"))
+    assert append_batch(lines, str(tmp_path / "log"), order_by=("payload",)) == 2
+
+
+def test_rotated_files_are_numbered_by_age(spark, tmp_path):
+    for age, name in enumerate(("app.log.2", "app.log.1", "app.log")):
+        file = write(tmp_path / "in" / name, f"{name} a\n{name} b\n")
+        os.utime(file, (1000 + age, 1000 + age))
+    path = str(tmp_path / "log")
+    append_batch(read_lines(spark, str(tmp_path / "in"), "app", positions=True), path)
+    got = [r["payload"] for r in read_log_table(spark, path).orderBy("seq").collect()]
+    assert got == [f"app.log{s} {c}" for s in (".2", ".1", "") for c in "ab"]
+
+
+def test_a_repeated_batch_is_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lines = spark.createDataFrame([("x",), ("y",)], "t string")
+    for _ in range(2):
+        assert append_batch(from_lines(lines, "t", "s", positions=True), path, "q", 0) == 2
+    mark = tmp_path / "log" / "_last" / "stream=q" / "batch=0" / "_SUCCESS"
+    mark.rename(mark.with_name("gone"))  # the data was committed, the mark was not
+    assert append_batch(from_lines(lines, "t", "s", positions=True), path, "q", 0) == 2
+    query = read_log_table(spark, path, stream=True).writeStream.format("memory").queryName("seen_once")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("seen_once").count() == 2
+
+
+def test_malformed_records_are_reported(spark, tmp_path):
+    path = write(tmp_path / "r.json", '{"seq":1,"payload":"a"}\n{"seq":broken\n{"seq":2,"payload":"b"}\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_records(spark, path).collect()
+    kept = read_records(spark, path, malformed="keep").cache()
+    assert [r["rejected"] for r in kept.where("rejected IS NOT NULL").collect()] == ['{"seq":broken']
+    assert kept.count() == 3 and read_records(spark, path, malformed="skip").count() == 2
 
 
 def test_any_lines(spark):
@@ -111,7 +174,7 @@ def test_batches_are_numbered_and_idempotent(spark, tmp_path):
     path = str(tmp_path / "log")
     assert read_log_table(spark, path).count() == 0
     def batch(*texts):
-        return from_lines(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s")
+        return from_lines(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s", positions=True)
     assert append_batch(batch("a", "b"), path, "x", 0) == 2
     assert append_batch(batch(), path, "x", 1) == 2
     assert append_batch(batch("c"), path, "x", 2) == 3
@@ -152,7 +215,7 @@ def test_compaction_keeps_the_newest(spark, tmp_path):
     path, target = str(tmp_path / "log"), str(tmp_path / "compacted")
     for i in range(3):
         lines = spark.createDataFrame([(f"{i}-{j}",) for j in range(10)], "t string")
-        append_batch(from_lines(lines, "t", "s"), path, "x", i)
+        append_batch(from_lines(lines, "t", "s", positions=True), path, "x", i)
     compact(spark, path, target, keep=12)
     assert sorted(r["seq"] for r in read_log_table(spark, target).collect()) == list(range(19, 31))
-    assert append_batch(from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s"), target, "x", 0) == 31
+    assert append_batch(from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s", positions=True), target, "x", 0) == 31
