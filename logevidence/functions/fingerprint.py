@@ -49,6 +49,15 @@ _SPACE = f"(?![!-~])(?: {WHITESPACE_CLASS}++|{WHITESPACE_NOT_BLANK_CLASS}{WHITES
 
 
 def fingerprint(payload: Column) -> Column:
+    """The displayed form of a line's `template`: its first ``FINGERPRINT_CHARS`` characters."""
+    return shown(template(payload))
+
+
+def shown(template: Column) -> Column:
+    return F.substring(template, 1, FINGERPRINT_CHARS)
+
+
+def template(payload: Column) -> Column:
     """Template of a line: ids, numbers, times, addresses and quoted text become placeholders.
 
     One scan replaces quoted text, one marks every variable part, one per kind replaces the
@@ -61,4 +70,4 @@ def fingerprint(payload: Column) -> Column:
     for pattern, placeholder in _KINDS:
         named = F.regexp_replace(named, pattern, placeholder)
     text = F.when(F.contains(marked, F.lit(_MARK)), named).otherwise(marked)
-    return F.substring(F.trim(F.regexp_replace(text, _SPACE, " ")), 1, FINGERPRINT_CHARS)
+    return F.trim(F.regexp_replace(text, _SPACE, " "))

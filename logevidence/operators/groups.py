@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fingerprint import fingerprint
+from ..functions.fingerprint import shown, template
 from ..functions.levels import level_of_rank, severity
 
 
 def error_groups(matching: DataFrame) -> DataFrame:
-    """One row per fingerprint of the given rows.
+    """One row per template of the given rows; lines that differ late are different failures.
 
     Columns: ``fingerprint, count, level`` (most severe), ``first_seen, last_seen, sources``
     (most rows first, then by name), ``first_seq, last_seq, last_source``.
@@ -20,14 +20,16 @@ def error_groups(matching: DataFrame) -> DataFrame:
     line is not dragged along: ``last_seq`` names the row to fetch it from.
     """
     per_source = (
-        matching.select(
-            fingerprint(F.col("payload")).alias("fingerprint"),
+        matching.withColumn("template", template(F.col("payload")))
+        .select(
+            F.md5("template").alias("key"),  # the whole template counts, its beginning is shown
+            shown(F.col("template")).alias("fingerprint"),
             "source",
             "seq",
             "timestamp",
             severity(F.col("level")).alias("rank"),
         )
-        .groupBy("fingerprint", "source")
+        .groupBy("key", "fingerprint", "source")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.max("rank").alias("rank"),
@@ -38,7 +40,7 @@ def error_groups(matching: DataFrame) -> DataFrame:
         )
     )
     return (
-        per_source.groupBy("fingerprint")
+        per_source.groupBy("key", "fingerprint")
         .agg(
             F.sum("rows").alias("count"),
             F.max("rank").alias("rank"),

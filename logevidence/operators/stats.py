@@ -70,8 +70,12 @@ def source_totals(logs: DataFrame) -> DataFrame:
 
 
 def lifecycle_state(events: DataFrame) -> DataFrame:
-    """Latest lifecycle event per source: ``name, status, detail, changed_at``."""
-    latest = F.max_by(F.struct("status", "detail"), "changed_at")
+    """Latest lifecycle event per source: ``name, status, detail, changed_at``.
+
+    Of events with one time that with the highest ``seq`` counts, where the events have that column.
+    """
+    order = F.struct("changed_at", "seq") if "seq" in events.columns else F.col("changed_at")
+    latest = F.max_by(F.struct("status", "detail"), order)
     return (
         events.groupBy("name")
         .agg(latest.alias("s"), F.max("changed_at").alias("changed_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fingerprint import fingerprint
+from ..functions.fingerprint import shown, template
 from ..functions.levels import level_of_rank, severity
 from ..functions.text import elide
 from ..schema import DEFAULT_PAYLOAD_CHARS, LAST_LINE_CHARS
@@ -35,8 +35,9 @@ def running_error_groups(stream: DataFrame) -> DataFrame:
     list, like the context, comes from the batch query over the log.
     """
     sample = F.max_by(elide(F.col("payload"), DEFAULT_PAYLOAD_CHARS)[0], "seq")
+    whole = template(F.col("payload"))
     return (
-        stream.groupBy(fingerprint(F.col("payload")).alias("fingerprint"))
+        stream.groupBy(F.md5(whole).alias("key"), shown(whole).alias("fingerprint"))
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.max(severity(F.col("level"))).alias("rank"),
@@ -47,5 +48,5 @@ def running_error_groups(stream: DataFrame) -> DataFrame:
             sample.alias("sample"),
         )
         .withColumn("level", level_of_rank(F.col("rank")))
-        .drop("rank")
+        .drop("rank", "key")
     )

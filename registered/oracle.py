@@ -83,6 +83,10 @@ _UUID = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
 
 
 def fingerprint(p: str) -> str:
+    return f"substring({template(p)}, 1, 300)"
+
+
+def template(p: str) -> str:
     quoted = "|".join(f'{q}[^{q}]{{0,198}}{q}' for q in ('"', "''", "`"))
     pieces = f"regexp_extract_all({p}, '(?s){quoted}|[0-9A-Za-z:._+-]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+|.')"
     run = f"'^(.*?)([0-9].*|[a-fA-F]{_HEX}{{7,}}|{_UUID}[:._+]*)?$'"
@@ -100,7 +104,7 @@ def fingerprint(p: str) -> str:
         f" WHEN regexp_matches(t, '^[\\s\\x0B\\x{{85}}\\p{{Z}}]+$') THEN ' '"
         f" WHEN regexp_matches(t, '^[0-9A-Za-z:._+-]+$') THEN regexp_extract(t, {run}, 1) || {classified} ELSE t END"
     )
-    return f"substring(trim(array_to_string(list_transform({pieces}, lambda t: {each}), '')), 1, 300)"
+    return f"trim(array_to_string(list_transform({pieces}, lambda t: {each}), ''))"
 
 
 RAW = f"raw AS (SELECT {select_list(LOG_COLUMNS)} FROM events)"
@@ -162,13 +166,13 @@ def context(n: int, anchors: str = "true") -> str:
 def groups(matching: str, with_context: int | None = None) -> str:
     """CTEs `g`: groups of the rows of `matching`, with ranked sources."""
     return (
-        f"fp AS (SELECT *, {fingerprint('payload')} AS fingerprint, {rank('level')} AS r FROM {matching}),"
-        " per_source AS (SELECT fingerprint, source, count(*) AS n FROM fp GROUP BY ALL),"
-        " ranked AS (SELECT fingerprint, string_agg(source, '|' ORDER BY n DESC, source) AS sources FROM per_source GROUP BY fingerprint),"
-        " g0 AS (SELECT fingerprint, count(*) AS count, arg_max(level, r) AS level, min(timestamp) AS first_seen,"
+        f"fp AS (SELECT *, {template('payload')} AS tpl, {rank('level')} AS r FROM {matching}),"
+        " per_source AS (SELECT tpl, source, count(*) AS n FROM fp GROUP BY ALL),"
+        " ranked AS (SELECT tpl, string_agg(source, '|' ORDER BY n DESC, source) AS sources FROM per_source GROUP BY tpl),"
+        " g0 AS (SELECT tpl, substring(tpl, 1, 300) AS fingerprint, count(*) AS count, arg_max(level, r) AS level, min(timestamp) AS first_seen,"
         " max(timestamp) AS last_seen, min(seq) AS first_seq, max(seq) AS last_seq, arg_max(payload, seq) AS sample"
-        " FROM fp GROUP BY fingerprint),"
-        " g AS (SELECT g0.*, ranked.sources FROM g0 JOIN ranked USING (fingerprint))"
+        " FROM fp GROUP BY tpl),"
+        " g AS (SELECT g0.*, ranked.sources FROM g0 JOIN ranked USING (tpl))"
     )
 
 
@@ -276,7 +280,7 @@ ORACLE = {
         f"WITH {LOGS}, hit AS (SELECT * FROM logs WHERE {IS_ERROR}), {groups('hit')} SELECT fingerprint, sources FROM g"
     ),
     "document_line_groups": (
-        f"{lines_of('documents', 'doc_id', 'text')}, rows AS (SELECT doc_id * 1048576 + line AS seq,"
+        f"{lines_of('documents', 'doc_id', 'text')}, rows AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS seq,"
         f" TIMESTAMP '2024-01-01 00:00:00' AS timestamp, documents.source, {text_level('payload')} AS level, payload"
         f" FROM lines JOIN documents USING (doc_id)), {groups('rows')}"
         " SELECT fingerprint, count, level, sources, first_seq, last_seq FROM g"
@@ -306,7 +310,7 @@ ORACLE = {
     ),
     "search_newest": on_logs(answer(newest("true", 100), 30)),
     "search_filtered": on_logs(answer(newest(
-        f"regexp_matches(payload, 'refused|slow') AND contains(source, 'api') AND {AT_LEAST_WARN}", 250
+        f"regexp_matches(payload, 'spent|slow') AND contains(source, 'api') AND {AT_LEAST_WARN}", 250
     ))),
     "search_envelope": on_logs(
         f"SELECT count(*) FILTER ({AT_LEAST_WARN} AND seq > 100) AS total_matching,"
@@ -414,3 +418,24 @@ ORACLE["streamed_source_stats"] = ORACLE["source_statistics"]
 ORACLE["streamed_error_groups"] = ORACLE["error_group_summary"]
 ORACLE["streamed_traces"] = ORACLE["trailing_context_errors"]
 ORACLE["streamed_follow"] = ORACLE["json_record_sink"] + " WHERE contains(source, 'worker') AND contains(payload, 'error')"
+
+ORACLE["ingested_lines"] = (
+    f"{lines_of('documents', 'doc_id', 'text')}"
+    " SELECT row_number() OVER (ORDER BY doc_id, line) AS seq, payload FROM lines WHERE payload <> ''"
+)
+ORACLE["records_round_trip"] = on_logs(
+    "SELECT CASE WHEN seq % 10 <> 0 THEN seq END AS seq, CASE WHEN seq % 10 <> 0 THEN payload END AS payload,"
+    " CASE WHEN seq % 10 = 0 THEN substring('{\"seq\":' || seq || ',\"timestamp', 1, 10) END AS rejected FROM logs"
+)
+ORACLE["error_groups_null_source"] = (
+    f"WITH {LOGS}, hit AS (SELECT * FROM logs WHERE {IS_ERROR}), {groups('hit')}"
+    f" SELECT fingerprint, count, {elided('sample', 2000)} AS sample FROM g ORDER BY last_seen DESC, first_seq LIMIT 20"
+)
+ORACLE["fingerprint_long_lines"] = (
+    f"WITH {LOGS}, hit AS (SELECT seq, timestamp, source, level, repeat('padding ', 50) || payload AS payload FROM logs), {groups('hit')}"
+    " SELECT fingerprint, count, first_seq, last_seq FROM g"
+)
+ORACLE["streamed_follow_replayed"] = on_logs("SELECT seq, source, level, payload FROM logs")
+ORACLE["filter_grep_classes"] = on_logs(
+    "SELECT seq, timestamp, source, level, payload FROM logs WHERE regexp_matches(payload, '[^ -~]|^[b-df-hj-np-tv-z]+ [^0-9]|[(?=]{2}')"
+)

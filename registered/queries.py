@@ -14,8 +14,9 @@ from logevidence.operators import (
 from logevidence.plans import recent_errors, records, search_logs
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
+from logevidence.schema import LOG_SCHEMA
 from logevidence.session import staging_path
-from logevidence.sources import append_logs, read_log_table
+from logevidence.sources import append_batch, append_logs, from_lines, read_log_table, read_records
 from logevidence.streaming import (
     follow_to, follow_traces, open_traces, read_traces, running_error_groups, running_source_stats,
 )
@@ -143,9 +144,9 @@ def error_group_sources(spark, sf):
 
 def document_line_groups(spark, sf):
     """Fingerprint groups over every line of every document: many groups, some very large."""
-    rows = text_lines(spark, sf, "documents", "doc_id", "text", "source").select(
-        # a document has fewer than 2^20 lines
-        (F.shiftleft("doc_id", 20) + F.col("line")).alias("seq"),
+    numbered = assign_seq(text_lines(spark, sf, "documents", "doc_id", "text", "source"), "doc_id", "line")
+    rows = numbered.select(
+        "seq",
         F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("timestamp"),
         "source",
         fn.text_level(F.col("payload")).alias("level"),
@@ -210,7 +211,7 @@ def search_newest(spark, sf):
 
 
 def search_filtered(spark, sf):
-    return search_logs(logs(spark, sf), grep="refused|slow", source="api", level="warn", limit=250).rows
+    return search_logs(logs(spark, sf), grep="spent|slow", source="api", level="warn", limit=250).rows
 
 
 def search_envelope(spark, sf):
@@ -405,6 +406,50 @@ def streamed_follow(spark, sf):
     return spark.read.text(path)
 
 
+def ingested_lines(spark, sf):
+    """Every line of every document as one batch with one timestamp; the table numbers them as they came."""
+    lines = text_lines(spark, sf, "documents", "doc_id", "text").orderBy("doc_id", "line")
+    path = staging_path(spark, "log")
+    append_batch(from_lines(lines, "payload", "documents", positions=True), path)
+    return read_log_table(spark, path).select("seq", "payload")
+
+
+def records_round_trip(spark, sf):
+    """Records as JSON lines, each tenth line broken; the broken ones come back as rejects."""
+    path = staging_path(spark, "records")
+    rows = logs(spark, sf)
+    value = F.when(F.col("seq") % 10 == 0, F.substring("value", 1, 10)).otherwise(F.col("value"))
+    json_records(rows).withColumn("seq", F.get_json_object("value", "$.seq").cast("bigint")).select(value).write.text(path)
+    return read_records(spark, path, malformed="keep").select("seq", "payload", "rejected")
+
+
+def error_groups_null_source(spark, sf):
+    """Failures of rows of which a third names no source; each counted group is answered."""
+    source = F.when(F.col("seq") % 3 != 0, F.col("source"))
+    return recent_errors(logs(spark, sf).withColumn("source", source)).rows.select("fingerprint", "count", "sample")
+
+
+def fingerprint_long_lines(spark, sf):
+    """Groups of lines that differ only after more characters than a fingerprint shows."""
+    long = F.concat(F.repeat(F.lit("padding "), 50), "payload")
+    return error_groups(logs(spark, sf).withColumn("payload", long)).select("fingerprint", "count", "first_seq", "last_seq")
+
+
+def streamed_follow_replayed(spark, sf):
+    """A batch that is appended twice reaches a follower of the table once."""
+    path, out = staging_path(spark, "log"), staging_path(spark, "seen")
+    for _ in range(2):
+        append_batch(logs(spark, sf), path, "replayed", 0, order_by=("seq",))
+    stream = read_log_table(spark, path, stream=True).writeStream.format("parquet").option("path", out)
+    stream.option("checkpointLocation", staging_path(spark, "run")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(LOG_SCHEMA).parquet(out).select("seq", "source", "level", "payload")
+
+
+def filter_grep_classes(spark, sf):
+    """A negated named class, a difference of classes, and a class that only looks like a look-around."""
+    return _records(filter_logs(logs(spark, sf), grep="[[:^print:]]|^[a-z--[aeiou]]+ [[:^digit:]]|[(?=]{2}"))
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())
