@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, table
@@ -341,6 +341,19 @@ def _together(rows: DataFrame, what: str) -> DataFrame:
     return rows.select("job", "part", "other", "node", "n_shingles", what).repartition("job", "part", "other").sortWithinPartitions("job", "part", "other")
 
 
+def _fitting_sizes(held: DataFrame, percent: int) -> DataFrame:
+    """``job, n_shingles`` of the sizes that could link with another set of their bucket.
+
+    If the next smaller and the next larger set differ too much in size, all others do. Sizes are counted first, so that the
+    window sees each size of a bucket once, however many sets have it.
+    """
+    size, by_size = F.col("n_shingles"), Window.partitionBy("job").orderBy("n_shingles")
+    sizes = held.groupBy("job", "n_shingles").agg(F.count("*").alias("same"))
+    sizes = sizes.withColumn("below", F.lag(size).over(by_size)).withColumn("above", F.lead(size).over(by_size))
+    fits = (F.col("same") > 1) | (100 * F.col("below") >= percent * size) | (100 * size >= percent * F.col("above"))
+    return sizes.where(fits).select("job", "n_shingles")
+
+
 def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most_sent: int = 500_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
@@ -367,17 +380,21 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     real = every.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = real.where("bits IS NOT NULL")  # at least one row of each node, at most one per chunk of text
     nodes = first.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    rows = first.select(F.explode("prefix").alias("token"), "node").repartition("token").dropDuplicates(["token", "node"])
+    # the filter, which the join would add to one side only, lets both readers share the exchange
+    rows = first.select(F.explode("prefix").alias("token"), "node").where("token IS NOT NULL")
+    rows = rows.repartition("token").dropDuplicates(["token", "node"])
     print_ = F.xxhash64("node")
     buckets = rows.groupBy("token").agg(
         F.count("*").alias("c"), F.bit_xor(print_).alias("x"), F.sum(print_.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.min("node").alias("low"), F.max("node").alias("high")
     ).where("c > 1")
     buckets = buckets.groupBy("c", "x", "s", "low", "high").agg(F.min("token").alias("token")).select("token", "c")
-    held = rows.join(buckets, "token").withColumnRenamed("token", "job").join(nodes, "node")
+    owners = first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    held = rows.join(buckets, "token").withColumnRenamed("token", "job").join(owners.select("node", "n_shingles"), "node")
+    held = scratch.write(held)
+    held = held.join(_fitting_sizes(held, percent), ["job", "n_shingles"]).drop("n_shingles").join(nodes, "node")
     blocks = F.when(F.col("c") <= BLOCK_NODES, 1).otherwise(F.ceil(2 * F.col("c") / BLOCK_NODES)).cast("long")
     near = map_arrow(_together(_dealt(held, blocks), "bits"), lambda it: _link_jobs(it, folded, percent, False), "u long, v long")
 
-    owners = first.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
     groups = scratch.write(components(near, scratch).join(owners, "node"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
     wanted = groups.join(sizes, "root").select(F.col("doc_id").alias("owner"), "node", F.col("root").alias("job"), "c", "t")
