@@ -46,7 +46,7 @@ def test_follow(spark, table, tmp_path):
     path, append = table
     out = str(tmp_path / "out")
     for _ in range(2):
-        run(follow_to(read_log_table(spark, path, stream=True), out, str(tmp_path / "cp"), {"availableNow": True}, grep="refused|new"))
+        run(follow_to(read_log_table(spark, path, stream=True), out, str(tmp_path / "cp"), {"availableNow": True}, grep="quota|new"))
         append(("api", "error", "ERROR new"))
     got = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
     assert len(got) == 31 and {"seq", "timestamp", "source", "level", "payload"} == set(got[0])
