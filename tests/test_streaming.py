@@ -161,7 +161,7 @@ def test_wait_answers_from_the_buffer(spark, table):
 def test_wait_sees_a_new_line_and_answers_with_the_burst(spark, table, streamed):
     path, append = table
     thread = later(
-        2, append, ("web", "error", "ERROR compiled badly"), ("web", "unknown", "    at deploy.js"), ("api", "info", "stopped")
+        2, append, ("web", "error", "ERROR bundle broken"), ("web", "unknown", "    at deploy.js"), ("api", "info", "stopped")
     )
     stream = read_log_table(spark, path, stream=True) if streamed else None
     answer = wait_for_logs(
@@ -170,7 +170,7 @@ def test_wait_sees_a_new_line_and_answers_with_the_burst(spark, table, streamed)
     thread.join()
     env = answer.envelope.first()
     assert env["matched"] and not env["matched_from_buffer"] and env["waited_ms"] > 0
-    assert [r["payload"] for r in answer.rows.collect()] == ["ERROR compiled badly", "    at deploy.js", "stopped"]
+    assert [r["payload"] for r in answer.rows.collect()] == ["ERROR bundle broken", "    at deploy.js", "stopped"]
 
 
 @pytest.mark.parametrize("streamed", [False, True])
