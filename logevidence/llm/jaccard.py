@@ -368,11 +368,13 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    frequent = (
+    # written first: collected at once, each partition would send its own FREQUENT rows to the driver
+    frequent = scratch.write(
         map_arrow(docs.select("text"), lambda it: _frequent(it, shingle), "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    )
-    order = spark.sparkContext.broadcast(np.array([r["token"] for r in reversed(frequent)], dtype=np.int64).view(np.uint64))
+        .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
+    ).collect()
+    frequent.sort(key=lambda r: (r["n"], -r["token"]))
+    order = spark.sparkContext.broadcast(np.array([r["token"] for r in frequent], dtype=np.int64).view(np.uint64))
     every = scratch.write(map_arrow(
         docs, lambda it: _prefixes(it, order.value, shingle, percent),
         "doc_id long, n_shingles long, node long, prefix array<long>, bits binary",
@@ -380,9 +382,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     real = every.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = real.where("bits IS NOT NULL")  # at least one row of each node, at most one per chunk of text
     nodes = first.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    # the filter, which the join would add to one side only, lets both readers share the exchange
-    rows = first.select(F.explode("prefix").alias("token"), "node").where("token IS NOT NULL")
-    rows = rows.repartition("token").dropDuplicates(["token", "node"])
+    rows = first.select(F.explode("prefix").alias("token"), "node").repartition("token").dropDuplicates(["token", "node"])
     print_ = F.xxhash64("node")
     buckets = rows.groupBy("token").agg(
         F.count("*").alias("c"), F.bit_xor(print_).alias("x"), F.sum(print_.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"), F.min("node").alias("low"), F.max("node").alias("high")
