@@ -135,7 +135,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, shingle:
         nth = np.arange(len(token)) - starts[rows]
         keep = nth < (size - (percent * size + 99) // 100 + 1)[rows]
         node = node_ids(rows, h, count)
-        keep &= np.isin(rows, np.unique(node, return_index=True)[1])  # one row of a class stands for all that are seen here
+        named = np.flatnonzero(chunk.column(0).is_valid().to_numpy(zero_copy_only=False))
+        keep &= np.isin(rows, named[np.unique(node[named], return_index=True)[1]])  # one row with an id stands for all of a class seen here
         bits = hashed_bitmaps(rows, h, size)
         cut = np.append(0, np.cumsum(np.bincount(rows[keep], minlength=count)))
         yield pa.RecordBatch.from_arrays(

@@ -64,6 +64,13 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert {tuple(r) for r in found} == {(5, 3), (3, 3), (9, 3), (10, 10)}
 
 
+def test_a_null_id_before_its_copies_hides_no_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (5, text), (6, text + " w60"), (None, "alone"), (7, "alone")]
+    found = linked_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(None, None), (5, 5), (6, 5), (7, 7)}
+
+
 def test_links_of_an_empty_table(spark):
     assert linked_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
