@@ -181,18 +181,28 @@ def private_spans(
 def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans of its texts replaced: base kinds and generalised terms by their kind in brackets, removed terms by nothing.
 
-    Of overlapping spans the first counts, and the longer of two that start together.
+    Overlapping spans are replaced together, up to the largest end, by the placeholder of the first of a base kind among them.
     """
     kinds = {k: f"[{k.upper()}]" for k in KINDS} | {"generalised": "[TERM]", "removed": ""}
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kinds[kind]).alias("put")))
+        return F.transform(kind, lambda s: F.struct(
+            s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kinds[kind]).alias("put"), F.lit(kind in KINDS).alias("base")))
 
     every = F.array_sort(F.concat(*map(of, kinds)))
     plan = spans.select(F.col("doc_id").alias("doc_of"), F.col("th").alias("th_of"), every.alias("every")).where(F.size("every") > 0).dropDuplicates(["doc_of", "th_of"])
-    kind = "array<struct<start:bigint,back:bigint,put:string>>"
-    apart = F.aggregate("every", F.array().cast(kind), lambda done, s: F.when(
-        (F.size(done) == 0) | (s["start"] >= -F.element_at(F.concat(F.array(s), done), -1)["back"]), F.concat(done, F.array(s))).otherwise(done))
+    kind = "array<struct<start:bigint,back:bigint,put:string,base:boolean>>"
+
+    def merged(done: Column, s: Column) -> Column:
+        last = F.element_at(F.concat(F.array(s), done), -1)  # an empty array has none
+        both = F.struct(
+            last["start"].alias("start"), F.least(last["back"], s["back"]).alias("back"),
+            F.when(s["base"] & ~last["base"], s["put"]).otherwise(last["put"]).alias("put"), (last["base"] | s["base"]).alias("base"),
+        )
+        apart = (F.size(done) == 0) | (s["start"] >= -last["back"])
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(both)))
+
+    apart = F.aggregate("every", F.array().cast(kind), merged)
     plan = plan.select("doc_of", "th_of", apart.alias("every"))
     joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("doc_of")) & F.xxhash64("text").eqNullSafe(F.col("th_of")), "left")
     pieces = F.transform("every", lambda s, i: F.concat(

@@ -186,6 +186,16 @@ def test_sanitised_texts_hold_no_base_span(spark):
     assert tuple(again) == (0, 0, 0)
 
 
+def test_overlapping_spans_are_replaced_whole(spark):
+    texts = ["ip 10.0.0.0 4111 1111 1111 1111 end", "a@b.4111 1111 1111 1111 end", "a@b.co.+4930123456 end", "+49 1.2.3.4 567 890 end"]
+    docs = brute.frame(spark, [*texts, *PRIVATE])
+    spans = private_spans(docs)
+    clean = sanitised(docs, spans)
+    assert tuple(digests(private_spans(clean)).selectExpr("sum(n_email)", "sum(n_ip)", "sum(n_card)", "sum(n_phone)").collect()[0]) == (0, 0, 0, 0)
+    out = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert out[1] == "ip [IP] end" and out[2] == "[EMAIL] end" and not any(c.isdigit() for i in (1, 2, 3, 4) for c in out[i])
+
+
 def test_privacy_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert digests(private_spans(empty)).collect() == [] and sanitised(empty, private_spans(empty)).collect() == []
