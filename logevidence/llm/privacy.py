@@ -1,13 +1,14 @@
 """Personal data and the terms that give it away, by corpus co-occurrence. DataFrame functions only.
 
 Email addresses, IP addresses, card and phone numbers are found by patterns. They are the protected entities: for each term
-near an entity, the corpus says how much knowing the term tells about the entity. With N documents, n(e) that hold the entity,
-n(t) that hold the term and n(t, e) that hold the term near the entity, the term discloses
+of a document that holds an entity, the corpus says how much knowing the term tells about the entity. With N documents, n(e)
+that hold the entity, n(t) that hold the term and n(t, e) that hold both, p(t) = n(t) / N, and the term discloses
 
-    PMI / IC = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
+    PMI / IC = log(p(t | e) / p(t)) / log(N / n(e)),   p(t | e) = (n(t, e) + PRIOR p(t)) / (n(e) + PRIOR)
 
-of the entity's information. Terms above ``GENERALISE`` are replaced by a placeholder, those above ``REMOVE`` are taken out.
-One occurrence proves nothing, so a pair must stand in ``SUPPORT`` documents at least.
+of the entity's information. The estimate of p(t | e) is smoothed, so that an entity of one document counts for less than one
+that stands with a term again and again. Terms above ``GENERALISE`` are replaced by a placeholder, those above ``REMOVE`` are
+taken out, wherever they stand in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ HINTS = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
 KINDS = tuple(PATTERNS)
-TERM = r"\p{L}{4,}"
-NEAR = 120
-SUPPORT = 2
+#: Words of letters and digits, also short ones, but not one or two lower-case letters a-z (of, to).
+TERM = r"(?![a-z]{1,2}(?![\p{L}\p{M}\p{N}]))[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.7, 0.9
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
@@ -97,42 +98,42 @@ def _every() -> Column:
     return F.array_sort(F.concat(*map(of, KINDS)))
 
 
-def _contexts(held: DataFrame) -> DataFrame:
-    """``doc_id, th, entity, term, start, end``: the whole terms within ``NEAR`` characters of an entity, up to the next one."""
-    def around(every: Column, s: Column, i: Column) -> Column:
-        before = F.greatest(s["start"] - NEAR, F.coalesce(F.get(every, i - 1)["end"], F.lit(0)), F.lit(0))
-        after = F.least(s["end"] + NEAR, F.coalesce(F.get(every, i + 1)["start"], s["end"] + NEAR))
-        cut = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-        plain = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
-        return F.struct(
-            F.xxhash64(s["kind"], plain).alias("entity"), F.greatest(before, F.lit(0)).alias("before"), cut(before, s["start"]).alias("left"),
-            s["end"].alias("after"), cut(s["end"], after).alias("right"),
-        )
-
-    rows = held.select("doc_id", "th", "text", _every().alias("every"))
-    rows = rows.select("doc_id", "th", F.explode(F.transform("every", lambda s, i: around(F.col("every"), s, i))).alias("c")).select("doc_id", "th", "c.*")
-    near = rows.select("doc_id", "th", "entity", F.explode(F.array(
-        F.struct(F.col("before").alias("at"), F.col("left").alias("piece"), (F.col("before") > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("after").alias("at"), F.col("right").alias("piece"), F.lit(False).alias("cut_left"), (F.char_length("right") >= NEAR).alias("cut_right")),
-    )).alias("p")).select("doc_id", "th", "entity", "p.*")
-    # a term that touches the cut may be half a word
-    near = near.select("doc_id", "th", "entity", "at", "cut_left", "cut_right", F.char_length("piece").alias("size"), F.explode(matches(F.col("piece"), TERM)).alias("t"))
-    near = near.where(~(F.col("cut_left") & (F.col("t.start") == 0)) & ~(F.col("cut_right") & (F.col("t.end") == F.col("size"))))
-    return near.select(
-        "doc_id", "th", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")
+def _terms(held: DataFrame) -> DataFrame:
+    """``doc, term, start, end``: each term of a text outside its base spans."""
+    gap = "struct<at:bigint,until:bigint>"
+    last = F.array(F.struct(F.char_length("text").cast("long").alias("start"), F.char_length("text").cast("long").alias("end")))
+    spans = F.concat(F.transform("every", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), last)
+    gaps = F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{gap}>").alias("gaps")),
+        lambda done, s: F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"),
+            F.when(s["start"] > done["at"], F.concat(done["gaps"], F.array(F.struct(done["at"].alias("at"), s["start"].alias("until"))))).otherwise(done["gaps"]).alias("gaps"),
+        ),
+        lambda done: done["gaps"],
+    )
+    pieces = held.select("doc", "text", F.explode(gaps).alias("g")).select(
+        "doc", F.col("g.at").alias("at"), F.substring("text", (F.col("g.at") + 1).cast("int"), (F.col("g.until") - F.col("g.at")).cast("int")).alias("piece")
     )
+    found = pieces.select("doc", "at", F.explode(matches(F.col("piece"), TERM)).alias("t"))
+    return found.select("doc", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+
+
+def _classes(held: DataFrame) -> DataFrame:
+    """``doc, class, n_e``: the entities of each document. Entities that stand in the same documents have the same figures and are one class."""
+    plain = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+    owners = held.select("doc", F.explode(F.transform("every", lambda s: F.xxhash64(s["kind"], plain(s)))).alias("entity")).distinct()
+    same = owners.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("doc").alias("x"), F.bit_xor(F.xxhash64("doc")).alias("y"))
+    same = same.select("entity", "n_e", F.xxhash64("n_e", "x", "y").alias("class"))
+    return owners.join(same, "entity").select("doc", "class", "n_e").distinct()
 
 
-def disclosing(docs: DataFrame, contexts: DataFrame, scratch: Scratch, support: int, generalise: float, most_sent: int) -> DataFrame:
-    """``entity, term, share``: the pairs whose share of disclosed information reaches ``generalise``.
+def disclosing(docs: DataFrame, seen: DataFrame, scratch: Scratch, prior: float, generalise: float, most_sent: int) -> DataFrame:
+    """``class, term, share``: the pairs whose share of disclosed information reaches ``generalise``. ``seen``: doc, class, n_e, term.
 
     Candidate terms are sent to the tasks that count them over the corpus if there are at most ``most_sent``; beyond that
     the terms of each task are summed first and then joined.
     """
-    seen = contexts.select("doc_id", "th", "entity", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    entities = contexts.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = scratch.write(pairs.join(entities, "entity"))
+    pairs = scratch.write(seen.groupBy("class", "n_e", "term").agg(F.count("*").alias("n_te")))
     terms = scratch.write(pairs.select("term").distinct())
     small = terms.count() <= most_sent
     held = docs.where("text IS NOT NULL").select(
@@ -143,13 +144,16 @@ def disclosing(docs: DataFrame, contexts: DataFrame, scratch: Scratch, support:
     else:
         counts = held.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     total = docs.agg(F.count("*").alias("n"))
-    joined = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    return joined.where(F.col("n") > F.col("n_e")).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    joined = pairs.join(counts, "term", "left").crossJoin(F.broadcast(total))  # one row
+    # cut off from a span it touches, a term may stand nowhere as a word of the whole text
+    joined = joined.withColumn("p", F.greatest(F.coalesce("n_t", F.lit(0)), "n_te") / F.col("n"))
+    given = (F.col("n_te") + prior * F.col("p")) / (F.col("n_e") + prior)
+    share = F.log(given / F.col("p")) / F.log(F.col("n") / F.col("n_e"))
+    return joined.where(F.col("n") > F.col("n_e")).select("class", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
 def private_spans(
-    docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, most_sent: int = 100_000
+    docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE, most_sent: int = 100_000
 ) -> DataFrame:
     """``doc_id, th, email, ip, card, phone, generalised, removed`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -163,12 +167,15 @@ def private_spans(
     base = base_spans(docs)
     some = F.size(F.concat(*(F.col(k) for k in KINDS))) > 0
     base = scratch.write(base.withColumn("text", F.when(some, F.col("text"))).withColumn("some", some))
-    contexts = scratch.write(_contexts(base.where("some")))
-    flagged = scratch.write(disclosing(docs, contexts, scratch, support, generalise, most_sent))
+    held = base.where("some").select(F.xxhash64("doc_id", "th").alias("doc"), "doc_id", "th", "text", _every().alias("every")).dropDuplicates(["doc"])
+    ids, occurring, classes = held.select("doc", "doc_id", "th"), scratch.write(_terms(held)), scratch.write(_classes(held))
+    seen = occurring.select("doc", "term").distinct().join(classes, "doc")
+    flagged = scratch.write(disclosing(docs, seen, scratch, prior, generalise, most_sent))
+    shares = seen.join(flagged, ["class", "term"]).groupBy("doc", "term").agg(F.max("share").alias("share"))
     terms = (
-        contexts.join(flagged, ["entity", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max("share").alias("share"))
-        .groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    )  # one document's terms near its own entities
+        occurring.join(shares, ["doc", "term"]).groupBy("doc")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms")).join(ids, "doc")
+    )  # one document's terms that tell about its own entities
     terms = terms.select(F.col("doc_id").alias("doc_of"), F.col("th").alias("th_of"), "terms")
     joined = base.drop("text", "some").join(terms, F.col("doc_id").eqNullSafe(F.col("doc_of")) & F.col("th").eqNullSafe(F.col("th_of")), "left")
     listed = F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,share:double>>"))

@@ -178,6 +178,17 @@ def test_terms_that_disclose_are_taken_out(spark, sent):
     assert {told[0][s["start"] : s["end"]] for s in row["removed"]} == {"butler", "Zanzibar", "writes"}
 
 
+def test_terms_of_entities_of_one_document_far_off_and_short(spark):
+    told = "Li of R2D2 said 李 ok " + "the day is good and " * 20 + "mail bo@x.org the day and so on, li, R2D2 and Quixote, bo@x.org"
+    texts = [told] + [f"the day is good and {w} said so ok on mail" for w in ("night", "wind", "rain", "snow", "hail", "mist", "Quixote")] * 6 + ["R2D2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = private_spans(docs)
+    row = spans.where("doc_id = 0").collect()[0]
+    assert [told[s["start"] : s["end"]] for s in row["generalised"]] == ["Li", "R2D2", "李", "R2D2"] and row["removed"] == []
+    out = [r["text"] for r in sanitised(docs, spans).orderBy("doc_id").collect()]
+    assert "R2D2" not in out[0] and "Quixote" in out[0] and out[1:] == texts[1:]
+
+
 def test_sanitised_texts_hold_no_base_span(spark):
     docs = brute.frame(spark, sample(spark) + PRIVATE[:5] + brute.EDGES)
     clean = sanitised(docs, private_spans(docs))
