@@ -29,7 +29,7 @@ from .vectors import by_length, complete, exact, largest, whole
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 CHUNK_ROWS = 4096
-LEAF = 24
+LEAF = 64
 #: Relative margin for rounding when an entry is struck out.
 MARGIN = 1e-9
 #: As many labels, those with the most rows, are joined by broadcast; the others by a shuffle.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,18 +36,45 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def give_back() -> None:
+    """Returns memory that a finished task no longer uses, since Python workers live on and serve the next stage too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """The whole row as one column ``row``; its own names can't clash with those of an operator."""
+    return F.struct(*(named(df, c).alias(c) for c in df.columns)).alias("row")
 
 
-def carried(docs: DataFrame, carry: bool) -> list[Column]:
-    """The whole row as one column, if wanted; its own names can't clash with those of an operator."""
-    return [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else []
+def schema_with_row(after: str, read: DataFrame, before: str) -> T.StructType:
+    """A schema with the column ``row`` of ``read``, where there is one, between others; no name needs to be quoted."""
+    fields = [*T.StructType.fromDDL(before).fields, *(f for f in read.schema.fields if f.name == "row")]
+    return T.StructType([*fields, *(T.StructType.fromDDL(after).fields if after else [])])
 
 
-def carried_schema(docs: DataFrame, carry: bool) -> str:
-    return f", row {docs.schema.simpleString()}" if carry else ""
+def unpacked(df: DataFrame, names: list[str], **instead: Column) -> DataFrame:
+    """The columns of ``row`` again, some with other values."""
+    return df.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in names))
 
 
 def fold(key: Column, parts: int) -> Column:

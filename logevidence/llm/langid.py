@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, carried_schema, fold, map_arrow, table
-from .textbytes import chunks, lower_latin, raw_texts
+from .common import fold, map_arrow, schema_with_row, table, whole_row
+from .textbytes import chunks, lower_latin, raw_texts, text_of
 
 BUCKETS = 1 << 15
 SEGMENT = 48
@@ -26,12 +26,15 @@ ROUNDS = 12
 MAX_LANGUAGES = 256
 
 
-def ngram_buckets(data: np.ndarray) -> np.ndarray:
-    """The bucket of the 4-gram of bytes that ends at each byte (over row borders the texts' joint makes one odd n-gram)."""
+def ngram_buckets(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bucket of the 4-gram of bytes that ends at each byte; near the start of its row (``off``) a gram is shorter."""
     low = lower_latin(data).astype(np.uint32)
     gram = low.copy()
     for back in (1, 2, 3):
         gram[back:] |= low[:-back] << np.uint32(8 * back)
+    for nth in range(3):
+        at = off[:-1] + nth
+        gram[at[at < off[1:]]] &= np.uint32((1 << 8 * (nth + 1)) - 1)
     return ((gram * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
 
 
@@ -39,7 +42,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for chunk in chunks(batches):
         data, off = raw_texts(chunk.column(1))
-        grams = ngram_buckets(data)
+        grams = ngram_buckets(data, off)
         names = chunk.column(0).to_pylist()
         of_row = np.repeat(np.arange(len(names)), np.diff(off))
         for name in set(names):
@@ -133,9 +136,9 @@ def mixtures(like: np.ndarray, doc: np.ndarray, docs: int, penalty: float) -> np
 def _predict(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarray, penalty: float) -> Iterator[pa.RecordBatch]:
     table_ = np.ascontiguousarray(logs.T)
     for chunk in chunks(batches):
-        data, off = raw_texts(chunk.column(1))
+        data, off = raw_texts(text_of(chunk))
         rows = chunk.num_rows
-        letters = np.array(chunk.column(2).to_pylist(), dtype=bool)
+        letters = np.array(chunk.column(1).to_pylist(), dtype=bool)
         size = np.diff(off)
         parts = -(-size // SEGMENT)
         doc = np.repeat(np.arange(rows), parts)
@@ -144,7 +147,7 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarr
         lang, score = ["und"] * rows, np.zeros(rows)
         if len(start) and names:
             like = np.empty((len(start), len(names)))
-            grams = ngram_buckets(data)
+            grams = ngram_buckets(data, off)
             for i in range(len(names)):
                 like[:, i] = np.add.reduceat(table_[grams, i], start)
             share = mixtures(like, doc, rows, penalty)
@@ -157,8 +160,9 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], logs: np.ndarr
             shares = [{}] * rows
         yield pa.RecordBatch.from_arrays(
             [chunk.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()),
-             pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64())), *chunk.columns[3:]],
-            names=["doc_id", "lang_pred", "score", "shares", *chunk.schema.names[3:]],
+             pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64())),
+             *(chunk.column(i) for i, n in enumerate(chunk.schema.names) if n == "row")],
+            names=["doc_id", "lang_pred", "score", "shares", *(n for n in chunk.schema.names if n == "row")],
         )
 
 
@@ -169,15 +173,16 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, penalty: float = 12
     name) and ``score`` its proportion. ``penalty`` is the gain in log-likelihood that one more language must bring. A text
     that is null or holds no letter, or any text when nothing is known of any language, is ``und`` with score 0. Null ids
     stay null, repeated rows are each answered, an empty table gives no rows. Runs the job that counts ``labelled``
-    (``lang``, ``text``); a null in either takes no part. With ``carry``, a column ``row`` holds the whole row of ``docs``.
+    (``lang``, ``text``); a null in either takes no part. The n-grams of a text lie within it, so an answer doesn't depend on
+    the rows around it. With ``carry``, a column ``row`` holds the whole row of ``docs``.
     """
     names, logs = learn_languages(labelled)
     # a letter of any script; Java's classes decide, in one native pass
-    read = docs.select(docs["doc_id"].cast("long"), docs["text"], F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("letters"), *carried(docs, carry))
+    letters = F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    read = docs.select(docs["doc_id"].cast("long"), letters, whole_row(docs) if carry else docs["text"])
     shared = docs.sparkSession.sparkContext.broadcast(logs)  # fixed size per language
-    return map_arrow(
-        read, lambda it: _predict(it, names, shared.value, penalty), "doc_id long, lang_pred string, score double, shares map<string,double>" + carried_schema(docs, carry)
-    )
+    schema = schema_with_row("", read, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return map_arrow(read, lambda it: _predict(it, names, shared.value, penalty), schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed in blocks of
 ``BLOCK`` bytes with each of them (a dictionary acts on the beginning of what it compresses, so blocks let it act on the
-whole text). The normalised difference of the two sizes, with the plain compressed size per byte beside it, goes through a
-logistic curve fitted on learning texts that the dictionaries have not seen.
+whole text). The normalised difference of the two sizes, and nothing else, goes through a logistic curve fitted on learning
+texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -35,22 +35,21 @@ def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
         data = zstandard.ZstdCompressionDict(d)
         data.precompute_compress(level=LEVEL)
         found.append(zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return [*found, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)]
+    return found
 
 
-def evidence(text: bytes, coders: list[zstandard.ZstdCompressor]) -> tuple[float, float]:
-    """Normalised difference of the compressed sizes (positive: closer to the good texts), and plain size per byte."""
+def evidence(text: bytes, coders: list[zstandard.ZstdCompressor]) -> float:
+    """Normalised difference of the compressed sizes; positive: closer to the good texts."""
     if not text:
-        return 0.0, 0.0
+        return 0.0
     view = memoryview(text)
     blocks = [view[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-    good, bad = (sum(len(c.compress(b)) for b in blocks) for c in coders[:2])
-    return (bad - good) / max(good, bad), min(len(coders[2].compress(text)) / len(text), 2.0)
+    good, bad = (sum(len(c.compress(b)) for b in blocks) for c in coders)
+    return (bad - good) / max(good, bad)
 
 
 def features(e: np.ndarray) -> np.ndarray:
-    e = np.asarray(e, dtype=float).reshape(-1, 2)
-    return np.column_stack([np.ones(len(e)), 10 * e[:, 0], e[:, 1], e[:, 1] ** 2])
+    return np.column_stack([np.ones(len(e)), 10 * e])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -106,7 +105,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple | None) -> Iterator[p
             raw, off = data.tobytes(), off.tolist()
             e = np.array([evidence(raw[a:b], coders) for a, b in zip(off[:-1], off[1:], strict=True)])
             score = 1 / (1 + np.exp(-np.clip(features(e) @ model[2], -30, 30)))
-            difference = e[:, 0]
+            difference = e
         else:
             score, difference = np.full(chunk.num_rows, 0.5), np.zeros(chunk.num_rows)
         yield pa.RecordBatch.from_arrays(

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text forms a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -77,12 +78,17 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def text_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
+    """The text column; where whole rows travel in one column ``row``, that of the row."""
+    names = batch.schema.names
+    return batch.column(names.index(text)) if text in names else pc.struct_field(batch.column(names.index("row")), text)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most ``limit`` bytes of text, or one row."""
     limit = limit or CHUNK_BYTES
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        _, off = raw_texts(column)
+        _, off = raw_texts(text_of(batch, text))
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
@@ -129,5 +135,27 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(stretch_hash(prefix_hashes(data), start, end) + (end - start).astype(np.uint64))
+def _place_codes(seed: int) -> np.ndarray:
+    """A random code for each of 64 places in a word and each byte value."""
+    return mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + mix(np.array([seed + 1], dtype=np.uint64)))
+
+
+_codes: dict[int, np.ndarray] = {}
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of non-empty words: sums of a code for each byte at its place.
+
+    Unlike polynomials modulo 2^64, for which patterned words of 1024 bytes collide, different words meet by chance alone.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    codes = _codes.setdefault(seed, _place_codes(seed)) if seed < 4 else _place_codes(seed)
+    size = end - start
+    head = np.cumsum(size) - size
+    place = (np.arange(size.sum(), dtype=np.int64) - np.repeat(head, size)).astype(np.int32)
+    value = codes[(place & 63) << 8 | data[np.repeat(start - head, size) + np.arange(len(place))]]
+    far = np.flatnonzero(place >= 64)
+    if len(far):
+        value[far] = mix(value[far] ^ (place[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, head) + size.astype(np.uint64))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
+import regex
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 EDGES = [None, "", " ", "\n\n", "...", "a", "ÀÉÎ õü", "word " * 3000, "x" * 20_000, "𝒳 😀 ‮ \u0000 end", "İstanbul ß ŉ"]
 
@@ -97,7 +100,8 @@ def luhn(digits):
     return sum(v - 9 * (v > 9) for v in doubled) % 10 == 0
 
 
-def personal(text):
+def personal_spans(text):
+    """(kind, start, end, value) of every base span, by kind and start."""
     def good(kind, m):
         d = re.sub("[^0-9]", "", m)
         if kind == "ip":
@@ -106,10 +110,49 @@ def personal(text):
             return 13 <= len(d) <= 19 and luhn(d)
         return kind == "email" or 9 <= len(d) <= 15
 
-    spans = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text or "") if good(k, m.group())] for k, p in KINDS.items()}
-    every = [s for k in KINDS for s in spans[k]]
-    return (*map(len, spans.values()), hashlib.sha256(",".join(every).encode()).hexdigest())
+    return [(k, m.start(), m.end(), m.group()) for k, p in KINDS.items() for m in re.finditer(p, text or "") if good(k, m.group())]
+
+
+def personal(text):
+    spans = personal_spans(text)
+    counts = Counter(s[0] for s in spans)
+    return (*(counts[k] for k in KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans).encode()).hexdigest())
 
 
 def key(row):
     return tuple((x is not None, x) if not isinstance(x, bool) else (True, int(x)) for x in row)
+
+
+def disclosed(docs, prior=0.5, generalise=0.7, remove=0.9, alpha=0.05):
+    """Per row (doc_id, text): lists of generalised and removed places, by plain counting over all rows."""
+    term = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+")
+    spans = {row: personal_spans(row[1]) for row in set(docs)}
+    words_of = lambda t: {m[0].lower() for m in term.finditer(t or "")}
+    n = len(docs)
+    n_t = Counter(w for _, t in docs for w in words_of(t))
+    holders: dict = {}
+    for row, found in spans.items():
+        for kind, value in {(k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)) for k, _, _, v in found}:
+            holders.setdefault((kind, value), set()).add(row)
+    classes = {frozenset(rows) for rows in holders.values()}
+    pairs = {(c, w): sum(w in words_of(t) for _, t in c) for c in classes for w in {w for _, t in c for w in words_of(t)}}
+    needed = 2 * math.log(max(len(pairs), 1) / alpha)
+
+    def ratio(both, one, other):
+        cells = [(both, one * other), (one - both, one * (n - other)), (other - both, (n - one) * other), (n - one - other + both, (n - one) * (n - other))]
+        return 2 * sum(o * math.log(o * n / e) for o, e in cells if o > 0) if both * n > one * other else 0.0
+
+    share: dict = {}
+    for (c, w), both in pairs.items():
+        if len(c) < n and ratio(both, len(c), max(n_t[w], both)) >= needed:
+            p = max(n_t[w], both) / n
+            s = math.log((both + prior * p) / (len(c) + prior) / p) / math.log(n / len(c))
+            if s >= generalise:
+                for row in c:
+                    share[row, w] = max(s, share.get((row, w), 0))
+    out = {}
+    for row, found in spans.items():
+        places = [(m.start(), m.end(), share[row, m[0].lower()]) for m in term.finditer(row[1] or "") if (row, m[0].lower()) in share]
+        places = [p for p in places if not any(a < p[1] and p[0] < b for _, a, b, _ in found)]
+        out[row] = ([p[:2] for p in places if p[2] < remove], [p[:2] for p in places if p[2] >= remove])
+    return out

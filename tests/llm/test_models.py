@@ -71,6 +71,17 @@ def test_languages_of_held_out_rows(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_predictions_do_not_depend_on_the_rows_around(spark):
+    labelled = spark.createDataFrame([("en", "the and of that which " * 50), ("de", "der und die das nicht ein " * 50), ("fr", "les des une que pour est " * 50)], "lang string, text string")
+    short = ["a", "de", "un", "die", "of", "es", "le", "to", "ein", "que"]
+    answers = []
+    for fill in (None, "die das und der ", "les une des que "):
+        rows = [x for i, t in enumerate(short) for x in ([(i, t)] if fill is None else [(100 + i, fill), (i, t)])]
+        found = identify_languages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labelled)
+        answers.append(sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in found.collect() if r["doc_id"] < 100))
+    assert answers[0] == answers[1] == answers[2]
+
+
 def test_mixtures_and_texts_without_letters(spark):
     known = spark.createDataFrame([("aa", "lorem ipsum dolor sit amet " * 40), ("bb", "quick brown foxes jump over " * 40), (None, "x"), ("aa", None)], "lang string, text string")
     texts = ["lorem ipsum dolor " * 30 + "quick brown foxes " * 20, "dolor sit amet lorem", "123 ... !", None, "", "жщ"]
