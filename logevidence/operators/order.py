@@ -123,14 +123,14 @@ def tail_per_source(logs: DataFrame, n: int = TAIL_LINES, chunk_rows: int = CHUN
     starts = stage(
         counts.withColumn("before", F.sum("rows").over(w) - F.col("rows"))
         .where(F.col("before") < n)
-        .groupBy("source")
+        .groupBy(F.col("source").alias("of"))
         .agg((F.min("chunk") * F.lit(chunk_rows)).alias("tail_start"))
     )
     lowest = starts.agg(F.min("tail_start")).scalar()
     by_source = Window.partitionBy("source").orderBy(F.col("seq").desc())
     return (
         logs.where(F.col("seq") >= lowest)
-        .join(starts, "source")
+        .join(starts, F.col("source").eqNullSafe(F.col("of")))  # rows without a source have a tail too
         .where(F.col("seq") >= F.col("tail_start"))
         .withColumn("r", F.row_number().over(by_source))
         .where(F.col("r") <= n)
@@ -174,3 +174,18 @@ def burst_from(logs: DataFrame, anchor: DataFrame | int, limit: int, chunk_rows:
     """The first ``limit`` rows from the anchor on, whatever they are, in order."""
     start = F.lit(anchor) if isinstance(anchor, int) else anchor.scalar()
     return oldest(logs.where(F.col("seq") >= start), limit, chunk_rows)
+
+
+def settled_burst(logs: DataFrame, anchor: DataFrame | int, settle: str) -> DataFrame:
+    """The rows from the anchor on that landed within ``settle`` (an interval, say "2 MINUTES") after it.
+
+    This is what a wait sees that lets a burst settle before it answers; an anchor without a time gives none but itself.
+    """
+    start = F.lit(anchor) if isinstance(anchor, int) else anchor.scalar()
+    until = logs.where(F.col("seq") == start).agg(F.max("timestamp") + F.expr(f"INTERVAL {settle}")).scalar()
+    return logs.where((F.col("seq") == start) | ((F.col("seq") > start) & (F.col("timestamp") <= until)))
+
+
+def with_position(rows: DataFrame) -> DataFrame:
+    """Adds ``position``, counted from 1 in the order of ``seq``, to an answer of bounded size, so that its order can be stored."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy("seq")).cast("bigint"))

@@ -76,3 +76,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = staging_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the staged tables that ``df`` reads, once nothing will read it again; other tables are left alone."""
+    spark, root = df.sparkSession, f"{staging_root(df.sparkSession)}/logevidence/stage-"
+    plain = lambda path: path.split(":", 1)[-1].replace("///", "/", 1)  # noqa: E731  (file:/a, file:///a and /a are one)
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if plain(folder).startswith(plain(root)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

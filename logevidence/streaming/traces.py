@@ -45,8 +45,8 @@ def trace_batch(
     events = rows.join(contexts.drop("source"), "seq")
     events.where("closed").select(*_COLUMNS, "context").write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
     # an event with a level ends the context before it, so a source has at most one open event: its last
-    open_from = contexts.where(~F.col("closed")).select("source", F.col("seq").alias("open_from"))
-    carried = rows.join(open_from, "source").where(F.col("seq") >= F.col("open_from")).select(*_COLUMNS)
+    open_from = contexts.where(~F.col("closed")).select(F.col("source").alias("of"), F.col("seq").alias("open_from"))
+    carried = rows.join(open_from, F.col("source").eqNullSafe(F.col("of"))).where(F.col("seq") >= F.col("open_from")).select(*_COLUMNS)
     carried.write.mode("overwrite").parquet(f"{path}/_open/batch={batch_id}")
 
 

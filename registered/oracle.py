@@ -439,3 +439,41 @@ ORACLE["streamed_follow_replayed"] = on_logs("SELECT seq, source, level, payload
 ORACLE["filter_grep_classes"] = on_logs(
     "SELECT seq, timestamp, source, level, payload FROM logs WHERE regexp_matches(payload, '[^ -~]|^[b-df-hj-np-tv-z]+ [^0-9]|[(?=]{2}')"
 )
+
+_SOME = "CASE WHEN seq % 3 <> 0 THEN source END"
+_NEWEST_POSITION = "row_number() OVER (ORDER BY seq) AS position"
+ORACLE["settled_burst_hour"] = on_logs(
+    "SELECT * FROM (" + answer("logs") + f") t WHERE seq >= (SELECT min(seq) FROM logs WHERE {IS_ERROR} AND contains(source, 'db') AND seq > 200)"
+    f" AND timestamp <= (SELECT arg_min(timestamp, seq) FROM logs WHERE {IS_ERROR} AND contains(source, 'db') AND seq > 200) + INTERVAL 60 MINUTE"
+)
+ORACLE["tail_null_source"] = on_logs(
+    f"SELECT seq, timestamp, {_SOME} AS source, level, payload FROM"
+    f" (SELECT *, row_number() OVER (PARTITION BY {_SOME} ORDER BY seq DESC) AS r FROM logs) t WHERE r <= 40"
+)
+ORACLE["streamed_traces_null_source"] = (
+    f"WITH {LOGS}, nulled AS (SELECT * REPLACE ({_SOME} AS source) FROM logs), {context(8, IS_ERROR).replace('FROM logs', 'FROM nulled')}"
+    " SELECT seq, source, context FROM ctx"
+)
+ORACLE["compacted_log"] = on_logs(
+    f"SELECT {RECORD}, (SELECT count(*) FROM logs) AS seen, (SELECT count(*) FROM logs) AS seen_once FROM logs ORDER BY seq DESC LIMIT 2500"
+)
+_WAITED = "contains(payload, 'bucket:7734') AND contains(source, 'api') AND seq > 20"
+ORACLE["wait_answer"] = on_logs(
+    "SELECT * FROM (" + answer(f"(SELECT * FROM logs WHERE seq >= (SELECT max(seq) FROM logs WHERE {_WAITED}) ORDER BY seq LIMIT 60) t")
+    + "), (SELECT true AS matched, true AS matched_from_buffer, count(*) AS total_matching, count(*) > 60 AS truncated,"
+    f" (SELECT max(seq) FROM logs) AS next_cursor FROM logs WHERE seq >= (SELECT max(seq) FROM logs WHERE {_WAITED}))"
+)
+ORACLE["hydrated_view"] = on_logs(f"SELECT {RECORD} FROM logs")
+ORACLE["incremental_steps"] = on_logs(
+    f"SELECT CASE WHEN seq <= 1500 THEN 1 ELSE 2 END AS step, seq, source, level, payload FROM logs WHERE {AT_LEAST_WARN} AND seq > 900 AND seq <= 2200"
+)
+ORACLE["newest_positions"] = on_logs(f"SELECT {RECORD}, {_NEWEST_POSITION} FROM (SELECT * FROM logs ORDER BY seq DESC LIMIT 120) t")
+ORACLE["page_positions"] = on_logs(
+    f"SELECT {RECORD}, {_NEWEST_POSITION} FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS r, count(*) OVER () AS n FROM logs"
+    " WHERE regexp_matches(payload, 'error') OR regexp_matches(source, 'error')) t"
+    " WHERE r >= least(100, greatest(n - 60, 0)) AND r < least(100, greatest(n - 60, 0)) + 60"
+)
+ORACLE["burst_positions"] = on_logs(
+    f"SELECT {RECORD}, {_NEWEST_POSITION} FROM (SELECT * FROM logs WHERE seq >= (SELECT min(seq) FROM logs WHERE {IS_ERROR} AND seq > 500)"
+    " ORDER BY seq LIMIT 80) t"
+)

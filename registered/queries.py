@@ -8,17 +8,17 @@ from logevidence import functions as fn
 from logevidence.functions.levels import parse_level
 from logevidence.operators import (
     assign_seq, burst_from, cursor_gap, dedup_by_seq, error_groups, filter_logs, filtered_count, first_match_after,
-    horizon, interactive_filter, latest_match, lifecycle_state, log_filter, merge_sources, page_slice,
-    retain_newest, source_stats, source_totals, source_views, status, tail_per_source, trailing_context,
+    horizon, interactive_filter, latest_match, lifecycle_state, log_filter, merge_sources, newest, page_slice,
+    retain_newest, settled_burst, source_stats, source_totals, source_views, status, tail_per_source, trailing_context, with_position,
 )
 from logevidence.plans import recent_errors, records, search_logs
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
 from logevidence.schema import LOG_SCHEMA
 from logevidence.session import staging_path
-from logevidence.sources import append_batch, append_logs, from_lines, read_log_table, read_records
+from logevidence.sources import append_batch, append_logs, compact_in_place, evict, from_lines, read_log_table, read_records, vacuum
 from logevidence.streaming import (
-    follow_to, follow_traces, open_traces, read_traces, running_error_groups, running_source_stats,
+    follow_to, follow_traces, hydrate_and_follow, open_traces, read_after, read_traces, running_error_groups, running_source_stats, wait_for_logs,
 )
 
 from .tables import lifecycle, log_stream, logs, raw_logs, table, text_lines
@@ -253,9 +253,13 @@ def wait_buffered(spark, sf):
 def wait_settled(spark, sf):
     """Rows that landed within two minutes of the first match after a cursor."""
     rows = logs(spark, sf)
-    anchor = first_match_after(rows, log_filter(level="error"), 300).scalar()
-    start = rows.where(F.col("seq") == anchor).agg(F.max("timestamp") + F.expr("INTERVAL 2 MINUTES")).scalar()
-    return elided_records(rows.where((F.col("seq") >= anchor) & (F.col("timestamp") <= start)))
+    return elided_records(settled_burst(rows, first_match_after(rows, log_filter(level="error"), 300), "2 MINUTES"))
+
+
+def settled_burst_hour(spark, sf):
+    """A burst of an hour from the first failure of one source after a cursor."""
+    rows = logs(spark, sf)
+    return elided_records(settled_burst(rows, first_match_after(rows, log_filter(level="error", source="db"), 200), "60 MINUTES"))
 
 
 def retained(spark, sf):
@@ -450,6 +454,104 @@ def filter_grep_classes(spark, sf):
     return _records(filter_logs(logs(spark, sf), grep="[[:^print:]]|^[a-z--[aeiou]]+ [[:^digit:]]|[(?=]{2}"))
 
 
+def _without_some_sources(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source", F.when(F.col("seq") % 3 != 0, F.col("source")))
+
+
+def tail_null_source(spark, sf):
+    """The last rows of every source, those without one included."""
+    return _records(tail_per_source(_without_some_sources(logs(spark, sf)), 40, chunk_rows=256))
+
+
+def streamed_traces_null_source(spark, sf):
+    """Live traces of rows of which a third names no source, in many small batches of the log table."""
+    path, table_path, is_error = staging_path(spark, "traces"), staging_path(spark, "log"), F.col("level") == "error"
+    rows = _without_some_sources(logs(spark, sf))
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    for i in range(3):
+        part = rows.where((F.col("seq") > i * last / 3) & (F.col("seq") <= (i + 1) * last / 3))
+        append_batch(part, table_path, "parts", i, order_by=("seq",))
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(table_path)
+    query = follow_traces(stream, path, staging_path(spark, "run"), is_error, availableNow=True)
+    query.awaitTermination()
+    done = read_traces(spark, path).select("seq", "source", "context")
+    still_open = open_traces(spark, path, (query.lastProgress or {}).get("batchId", 0), is_error).select("seq", "source", "context")
+    return done.unionByName(still_open).withColumn("context", F.array_join("context", "|"))
+
+
+def compacted_log(spark, sf):
+    """A table of five batches after eviction and compaction; a follower that began before still sees every row once."""
+    path, out, rows = staging_path(spark, "log"), staging_path(spark, "seen"), logs(spark, sf)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+
+    def append(i: int) -> None:
+        part = rows.where((F.col("seq") > i * last / 5) & (F.col("seq") <= (i + 1) * last / 5))
+        append_batch(part, path, "parts", i, order_by=("seq",))
+
+    append(0)
+    append(1)
+    stream = read_log_table(spark, path, stream=True).writeStream.format("parquet").option("path", out)
+    query = stream.option("checkpointLocation", staging_path(spark, "run")).start()
+    try:
+        append(2)
+        compact_in_place(spark, path, rows_per_file=2048)
+        append(3)
+        evict(spark, path, 2500)
+        append(4)
+        evict(spark, path, 2500)
+        compact_in_place(spark, path, rows_per_file=2048)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    vacuum(spark, path, 0)
+    seen = spark.read.schema(LOG_SCHEMA).parquet(out).agg(F.count(F.lit(1)).alias("seen"), F.countDistinct("seq").alias("seen_once"))
+    return _records(read_log_table(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))).crossJoin(F.broadcast(seen))
+
+
+def wait_answer(spark, sf):
+    """A wait on the retained log whose match is there already: the burst from its newest match on, with its envelope."""
+    answer = wait_for_logs(lambda: logs(spark, sf), grep="bucket:7734", source="api", cursor=20, limit=60)
+    envelope = answer.envelope.select("matched", "matched_from_buffer", "total_matching", "truncated", "next_cursor")
+    return answer.rows.crossJoin(F.broadcast(envelope))
+
+
+def hydrated_view(spark, sf):
+    """History and live rows of one table seen together; two thirds of the live rows are in the history too."""
+    path, rows = staging_path(spark, "log"), logs(spark, sf)
+    append_batch(rows, path, "all", 0, order_by=("seq",))
+    query, view = hydrate_and_follow(
+        lambda: read_log_table(spark, path).where("seq % 3 <> 0"), read_log_table(spark, path, stream=True),
+        staging_path(spark, "live"), staging_path(spark, "run"), availableNow=True,
+    )
+    query.awaitTermination()
+    return _records(view().withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def incremental_steps(spark, sf):
+    """Two steps of an incremental read; the second goes on where the first one's envelope says."""
+    rows = logs(spark, sf)
+    first = read_after(rows.where("seq <= 1500"), 900, level="warn")
+    cursor = first.envelope.first()["next_cursor"]
+    second = read_after(rows.where("seq <= 2200"), cursor, level="warn")
+    steps = [r.rows.select(F.lit(i + 1).alias("step"), "seq", "source", "level", "payload") for i, r in enumerate((first, second))]
+    return steps[0].unionByName(steps[1])
+
+
+def newest_positions(spark, sf):
+    """The newest rows with their place in the answer."""
+    return with_position(_records(newest(logs(spark, sf), 120)))
+
+
+def page_positions(spark, sf):
+    rows = logs(spark, sf).where(interactive_filter("error"))
+    return with_position(_records(page_slice(rows, 100, 60, chunk_rows=128)))
+
+
+def burst_positions(spark, sf):
+    rows = logs(spark, sf)
+    return with_position(_records(burst_from(rows, first_match_after(rows, log_filter(level="error"), 500), 80)))
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from logevidence.operators import log_filter
 from logevidence.plans import recent_errors
+from logevidence.session import staging_root
 from logevidence.sources import (
-    append_batch, append_logs, compact, from_lines, parse_config, read_containers, read_lines, read_log_table,
+    append_batch, append_logs, compact, compact_in_place, evict, from_lines, parse_config, read_containers, read_lines, read_log_table, vacuum,
     read_process_output, read_records, sources_from_config, write_records,
 )
 from logevidence.sources.lines import POSITION
@@ -94,8 +95,8 @@ def test_a_repeated_batch_is_not_written_again(spark, tmp_path):
     lines = spark.createDataFrame([("x",), ("y",)], "t string")
     for _ in range(2):
         assert append_batch(from_lines(lines, "t", "s", positions=True), path, "q", 0) == 2
-    mark = tmp_path / "log" / "_last" / "stream=q" / "batch=0" / "_SUCCESS"
-    mark.rename(mark.with_name("gone"))  # the data was committed, the mark was not
+    version = tmp_path / "log" / "_versions" / "000000000001.json"
+    version.rename(version.with_name("gone"))  # the data was written, the version was not
     assert append_batch(from_lines(lines, "t", "s", positions=True), path, "q", 0) == 2
     query = read_log_table(spark, path, stream=True).writeStream.format("memory").queryName("seen_once")
     query.trigger(availableNow=True).start().awaitTermination()
@@ -219,3 +220,72 @@ def test_compaction_keeps_the_newest(spark, tmp_path):
     compact(spark, path, target, keep=12)
     assert sorted(r["seq"] for r in read_log_table(spark, target).collect()) == list(range(19, 31))
     assert append_batch(from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s", positions=True), target, "x", 0) == 31
+
+
+def _numbers(df):
+    return sorted(r["seq"] for r in df.collect())
+
+
+def _ten_batches(spark, path):
+    for i in range(10):
+        lines = spark.createDataFrame([(f"{i}-{j}",) for j in range(3)], "t string").coalesce(1)
+        append_batch(from_lines(lines, "t", "s", positions=True), path, "x", i)
+
+
+def test_versions_of_a_table_stay_readable_until_they_are_vacuumed(spark, tmp_path):
+    path = str(tmp_path / "log")
+    _ten_batches(spark, path)
+    old = read_log_table(spark, path)
+    assert evict(spark, path, 12) == 18 and _numbers(read_log_table(spark, path)) == list(range(19, 31))
+    compact_in_place(spark, path)
+    assert _numbers(read_log_table(spark, path)) == list(range(19, 31)) and len(list((tmp_path / "log" / "_merged").iterdir())) == 1
+    assert _numbers(old) == list(range(1, 31))  # a reader that began before
+    assert _numbers(read_log_table(spark, path, version=10)) == list(range(1, 31))
+    assert vacuum(spark, path, 3600) == []
+    again = from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s", positions=True)
+    assert append_batch(again, path, "x", 4) == 30  # a replay of a batch that is gone
+    assert len(vacuum(spark, path, 0)) == 10 and _numbers(read_log_table(spark, path)) == list(range(19, 31))
+    assert append_batch(again, path, "x", 10) == 31 and _numbers(read_log_table(spark, path)) == list(range(19, 32))
+    assert evict(spark, path, 1) == 30 and _numbers(read_log_table(spark, path)) == [31]
+
+
+def test_compaction_gives_way_and_keeps_what_came_meanwhile(spark, tmp_path, monkeypatch):
+    from logevidence.sources import log_table
+
+    path = str(tmp_path / "log")
+    _ten_batches(spark, path)
+    write, rivals = log_table._write_ordered, []
+
+    def meanwhile(*args):
+        write(*args)
+        if not rivals:
+            rivals.append(1)
+            append_batch(from_lines(spark.createDataFrame([("late",)], "t string"), "t", "s", positions=True), path, "x", 10)
+            compact_in_place(spark, path)  # the rival is faster
+
+    monkeypatch.setattr(log_table, "_write_ordered", meanwhile)
+    compact_in_place(spark, path)
+    assert _numbers(read_log_table(spark, path)) == list(range(1, 32))
+    assert len(list((tmp_path / "log" / "_merged").iterdir())) == 1  # the slower one's folder is gone
+
+
+def test_staged_payload_is_removed_after_each_batch(spark, tmp_path):
+    before = staging_root(spark)
+    spark.conf.set("logevidence.staging.dir", str(tmp_path / "shared"))
+    try:
+        _ten_batches(spark, str(tmp_path / "log"))
+    finally:
+        spark.conf.set("logevidence.staging.dir", before)
+    assert list((tmp_path / "shared").rglob("*.parquet")) == []
+    assert len(list((tmp_path / "log").rglob("part-*.parquet"))) == 10
+
+
+def test_a_table_without_versions_is_adopted(spark, tmp_path):
+    path = str(tmp_path / "log")
+    _ten_batches(spark, path)
+    import shutil
+
+    shutil.rmtree(tmp_path / "log" / "_versions")
+    assert _numbers(read_log_table(spark, path)) == list(range(1, 31))
+    assert append_batch(from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s", positions=True), path, "y", 0) == 31
+    assert _numbers(read_log_table(spark, path)) == list(range(1, 32))
