@@ -98,3 +98,36 @@ def test_no_cross_joins(logs, query):
 def test_everything_stays_in_the_jvm(logs):
     for df in (recent_errors(logs).rows, search_logs(logs, grep="x").rows, source_stats(logs)):
         assert "Python" not in plan(df) and "Pandas" not in plan(df)
+
+
+def test_heads_of_a_hot_source_are_combined_in_ranges(spark):
+    """One source with nine tenths of the rows, many chunks: no task of the carry sees more heads than a range has."""
+    from logevidence.operators.context import _carries
+
+    item = "struct<kind:int,line:string>"
+    hot = spark.range(3000).select(F.lit("hot").alias("source"), F.col("id").alias("chunk"))
+    cold = spark.range(300).select(F.concat(F.lit("cold"), F.col("id") % 30).alias("source"), (F.col("id") * 10).alias("chunk"))
+    line = F.struct(F.when(F.col("chunk") % 5 == 4, 1).otherwise(0).alias("kind"), F.concat("source", F.lit("-"), "chunk").alias("line"))
+    heads = hot.unionByName(cold).withColumn("head", F.array(line).cast(f"array<{item}>"))
+    got = {(r["source"], r["chunk"]): [x["line"] for x in r["carry"]] for r in _carries(heads, 8, 64).collect()}
+    plain: dict = {}
+    for r in heads.collect():
+        plain.setdefault(r["source"], []).append((r["chunk"], r["head"][0]))
+    for source, chunks in plain.items():
+        chunks.sort()
+        for i, (chunk, _) in enumerate(chunks):
+            want = []
+            for _, x in chunks[i + 1 : i + 9]:
+                want.append(x["line"])
+                if x["kind"]:
+                    break
+            assert got[source, chunk] == want
+    per_key = heads.groupBy("source", F.floor(F.col("chunk") / 64).alias("range")).count().agg(F.max("count")).first()[0]
+    assert per_key == 64
+
+
+def test_context_of_shown_groups_joins_on_source_and_bucket(logs):
+    from logevidence.operators.context import context_of
+
+    text = plan(context_of(logs, logs.where(F.col("level") == "error").orderBy(F.desc("seq")).limit(20).select("seq", "source"), 8))
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
