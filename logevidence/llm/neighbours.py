@@ -4,8 +4,9 @@ Rows are dealt to shards of about ``SHARD_ROWS`` rows by a hash of their id, so
 shard large; equal vectors of a shard are kept once, with as many of their smallest ids as an answer can need. Queries are
 dealt to blocks, and each (shard, block) pair is one job that builds the shard's tree over the unit vectors and walks it with
 the whole block. A subtree is skipped where ``factor * bound > radius``: bound is the least distance that the triangle
-inequality allows, radius the distance of the k-th nearest found. Factor one is exact; above one it skips more. Only the k
-best of each shard leave a job.
+inequality allows, radius the distance of the k-th nearest found. Factor one is exact; above one it skips more. A second walk
+takes everything as far as the last one found, so that ties of any number go by exact score and id. Only the k best of each
+shard leave a job.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import ship, table
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 4096
 LEAF = 128
-#: Units kept beyond k while distances still come from one large product, whose last bits depend on the block.
-SPARE = 3
+#: What a distance of unit vectors, taken from one large product, may be off by.
+SLACK = 2e-7
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -58,7 +59,6 @@ class VantageTree:
         n = len(queries)
         best = np.full((n, k), np.inf)
         found = np.full((n, k), -1)
-        slack = 1e-7  # rounding of the distances must not prune
 
         def take(active: np.ndarray, start: int, end: int) -> np.ndarray:
             d = np.sqrt(np.maximum(2 - 2 * (queries[active] @ self.unit[start:end].T), 0))
@@ -71,7 +71,7 @@ class VantageTree:
         pending = [(0, np.arange(n), np.zeros(n))]
         while pending:
             node, active, bound = pending.pop()
-            keep = factor * (bound - slack) <= best[active].max(axis=1)
+            keep = factor * (bound - SLACK) <= best[active].max(axis=1)
             active, bound = active[keep], bound[keep]
             if not len(active):
                 continue
@@ -89,6 +89,27 @@ class VantageTree:
             pending += [*later, *now]
         return np.where(found >= 0, self.order[found], -1)
 
+    def within(self, queries: np.ndarray, radius: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a place (in the given rows) that are no farther apart than the query's radius, rounding allowed for."""
+        who, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pending = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+        while pending:
+            node, active, bound = pending.pop()
+            keep = factor * (bound - SLACK) <= radius[active] + SLACK
+            active, bound = active[keep], bound[keep]
+            if not len(active):
+                continue
+            start, end, inner, outer, rim = self.nodes[node]
+            stop = end if inner < 0 else start + 1
+            d = np.sqrt(np.maximum(2 - 2 * (queries[active] @ self.unit[start:stop].T), 0))
+            i, j = np.nonzero(d <= radius[active][:, None] + SLACK)
+            who.append(active[i])
+            where.append(start + j)
+            if inner >= 0:
+                for child, lo, hi in ((inner, rim[0], rim[1]), (outer, rim[2], rim[3])):
+                    pending.append((child, active, np.maximum(bound, np.maximum(lo - d[:, 0], d[:, 0] - hi))))
+        return np.concatenate(who), self.order[np.concatenate(where)]
+
 
 def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and offsets of a list column without nulls."""
@@ -111,14 +132,21 @@ def _by_size(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(dim), ids[rows][first], v[first]
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near one. Cosines keep every bit, squares their range."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, initial=0))
+    return np.ldexp(v, -exponent[:, None])
+
+
 def search_shard(data: pa.Table, asked: pa.Table, k: int, factor: float) -> pa.Table:
     """The k nearest of each query within one shard."""
-    known = {dim: (ids, v) for dim, ids, v in _by_size(data)} if data.num_rows else {}
+    known = {dim: (ids, scaled(v)) for dim, ids, v in _by_size(data)} if data.num_rows else {}
     out: list[list[np.ndarray]] = [[], [], []]
     for dim, query_ids, q in _by_size(asked) if asked.num_rows else ():
         if dim not in known:
             continue
         ids, v = known[dim]
+        q = scaled(q)
         same, back = np.unique(v, axis=0, return_inverse=True)
         order = np.lexsort((ids, back.ravel()))
         starts = np.searchsorted(back.ravel()[order], np.arange(len(same) + 1))
@@ -128,11 +156,21 @@ def search_shard(data: pa.Table, asked: pa.Table, k: int, factor: float) -> pa.T
         members[back.ravel()[order][few], nth[few]] = ids[order][few]
         norm = np.sqrt((same * same).sum(axis=1))
         q_norm = np.sqrt((q * q).sum(axis=1))
-        tree = VantageTree(same / norm[:, None])
-        units = tree.search(q / q_norm[:, None], min(k + 1 + SPARE, len(same)), factor)
+        unit, q_unit = same / norm[:, None], q / q_norm[:, None]
+        tree = VantageTree(unit)
+        units = tree.search(q_unit, min(k + 1, len(same)), factor)
+        # the units as far as the last of these and no farther: ties among them are for the ids to settle, however many they are
+        apart = np.where(units >= 0, 2 - 2 * np.einsum("qd,qkd->qk", q_unit, unit[units]), 0)
+        radius = np.sqrt(np.maximum(apart.max(axis=1, initial=0), 0))
+        if units.shape[1] < len(same):
+            who, found = tree.within(q_unit, radius, factor)
+        else:
+            who, found = np.repeat(np.arange(len(q)), len(same)), np.tile(np.arange(len(same)), len(q))
+        by_query = np.argsort(who, kind="stable")
+        cut = np.searchsorted(who[by_query], np.arange(len(q) + 1))
         some = np.arange(k + 1) < np.minimum(np.diff(starts), k + 1)[:, None]
         for i in range(len(q)):
-            u = units[i][units[i] >= 0]
+            u = found[by_query[cut[i] : cut[i + 1]]]
             score = (same[u] * q[i]).sum(axis=1) / (norm[u] * q_norm[i])
             own = some[u] & (members[u] != query_ids[i])
             s, m = np.broadcast_to(score[:, None], own.shape)[own], members[u][own]

@@ -5,7 +5,8 @@ the smallest hash (the last of equals). Equal strings have equal anchors at equa
 dealt by their hash, though only about one position in sixty is an anchor. Neighbouring starts with one anchor form a run.
 
 1. Runs whose whole surroundings (all bytes of their strings) occur twice are repeated as they are. A task settles those it
-   sees itself and passes on one row of each, so that frequent passages don't pile up behind one key.
+   sees itself, checked byte by byte, and passes on one row of each, so that frequent passages don't pile up behind one key;
+   between tasks surroundings are compared by a cryptographic digest, not by the polynomial hash that groups them.
 2. What is left of an anchor with several surroundings, the edges of repeats, is settled by suffix sorts: the suffixes that
    start at the anchors, and the reversed prefixes that end there, are merge-sorted. Two suffixes are compared by a binary
    search for their common extension over prefix polynomial hashes, which takes logarithmically many steps; the extensions
@@ -87,6 +88,44 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[first], start[first], reach[last] - shift[last]
 
 
+def checked_groups(data: np.ndarray, h: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which rows of equal h, c and bytes stand together, and where in it a group begins.
+
+    Rows of equal hashes are compared with the first of them byte by byte; the few that differ, if any, go by their bytes.
+    """
+    order = np.lexsort((c, h))
+    if not len(order):
+        return order, np.zeros(0, bool)
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    size = end - start
+    differs = size[order] != size[head]
+    rest = np.flatnonzero((order != head) & ~differs)
+    for part in np.array_split(rest, max(1, int(size[order[rest]].sum()) // (8 << 20))):
+        n = size[order[part]]
+        if not len(n):
+            continue
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = data[np.repeat(start[order[part]], n) + step] == data[np.repeat(start[head[part]], n) + step]
+        differs[part] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
+    if differs.any():
+        raw = data.tobytes()
+        order = np.array(sorted(range(len(h)), key=lambda i: (h[i], c[i], raw[start[i] : end[i]])), dtype=np.int64)
+        key = [(h[i], c[i], raw[start[i] : end[i]]) for i in order]
+        new = np.array([True] + [x != y for x, y in zip(key, key[1:], strict=False)])
+    return order, new
+
+
+def digests_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of stretches of bytes, each with some numbers: equal by design for equal input, else by chance alone."""
+    raw = memoryview(np.ascontiguousarray(data))
+    extra = np.column_stack([x.astype(np.int32) for x in more])
+    out = [
+        hashlib.blake2b(raw[x:y], digest_size=8, salt=e.tobytes()).digest() for x, y, e in zip(start.tolist(), end.tolist(), extra, strict=True)
+    ]
+    return np.frombuffer(b"".join(out), np.uint64) if out else np.zeros(0, np.uint64)
+
+
 def _batch(columns: dict[str, np.ndarray], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32()}
     fields = [f.split() for f in schema.split(", ")]
@@ -102,12 +141,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.asarray([-1 if x is None else x for x in chunk.column(0).to_pylist()], dtype=np.int64) if chunk.column(0).null_count else doc.astype(np.int64)
         missing = np.asarray(chunk.column(0).is_null())
         th = chunk.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((c, h))
-        new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])) if len(h) else np.zeros(0, bool)
+        order, new = checked_groups(data, h, c, a, b + LENGTH)
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1 if len(h) else new
         settled = order[many]
         passed = order[new]
+        c = c.copy()
+        c[passed] = digests_of(data, a[passed], b[passed] + LENGTH, (b - a)[passed], (q - a)[passed])
         w = np.where(many[new], 2, 1)
         r, s, e = merged(row[settled], a[settled] - off[row[settled]], b[settled] + LENGTH - off[row[settled]])
         zero = np.zeros(len(r), np.int64)

@@ -118,6 +118,21 @@ def test_neighbours_equal_brute_force(spark):
     assert nearest(df.limit(0), df.limit(0)).collect() == [] and nearest(df, df.limit(0)).collect() == []
 
 
+def test_ties_of_any_number_and_vectors_of_any_size(spark):
+    r = np.random.default_rng(2)
+    v = r.normal(size=8)
+    multiples = [(61 + i, (v * 2.0**i).tolist()) for i in range(40)]
+    other = [(200 + i, r.normal(size=8).tolist()) for i in range(300)]
+    asked = [(50, (v + 0.01 * r.normal(size=8)).tolist())]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest(frame(multiples + other + asked), frame(asked)).orderBy("rank").collect()
+    assert [x["vec_id"] for x in found] == [61, 62, 63, 64, 65] and len({x["score"] for x in found}) == 1
+    sizes = [(1, [1e-200, 2e-200]), (2, [1e200, 1e199]), (3, [3.0, -1.0]), (4, [5e-324, 0.0])]
+    found = {x["vec_id"]: x["score"] for x in nearest(frame(sizes), frame([(9, [2.0, 1.0]), (3, [3.0, -1.0])])).where("query_id = 9").collect()}
+    plain = lambda a, b: (a[0] * b[0] + a[1] * b[1]) / np.hypot(*a) / np.hypot(*b)
+    assert found == pytest.approx({1: plain((1, 2), (2, 1)), 2: plain((10, 1), (2, 1)), 3: plain((3, -1), (2, 1)), 4: plain((1, 0), (2, 1))}, abs=1e-12)
+
+
 def test_relaxed_pruning_skips_and_keeps_recall():
     r = np.random.default_rng(4)
     centres = r.normal(size=(40, 8))
