@@ -61,6 +61,36 @@ def _instant(s: str) -> datetime | None:
         return None
 
 
+def since_instant(text: Column, as_of: Column | None = None) -> Column:
+    """`parse_since` of every value of a column, as TIMESTAMP; null where a value names no instant.
+
+    Ages count back from ``as_of`` (the time of the query by default).
+    """
+    s = F.regexp_replace(text, r"^\s+|\s+$", "")
+    form = r"^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?(?:[Zz]|([+-])(\d{2}):(\d{2}))$"
+    part = lambda i: F.regexp_extract(s, form, i)
+    number = lambda i: part(i).try_cast("int")
+    second = number(6)
+    base = F.try_make_timestamp(
+        number(1), number(2), number(3), number(4), number(5), F.least(second, F.lit(59)).cast("decimal(16,6)"), F.lit("UTC")
+    )
+    finer = F.regexp_replace(F.substring(part(7), 7, 1 << 20), "0", "") != ""
+    micros = F.rpad(F.substring(part(7), 1, 6), 6, "0").try_cast("bigint") + finer.cast("int")
+    offset = (number(9).cast("bigint") * 60 + number(10)) * 60_000_000 * F.when(part(8) == "-", -1).otherwise(1)
+    leap = F.greatest(second - 59, F.lit(0)).cast("bigint") * 1_000_000
+    instant = F.unix_micros(base) + F.coalesce(micros, F.lit(0)) + leap - F.coalesce(offset, F.lit(0))
+    age = r"^\+?(\d+)([smhd])$"
+    unit = F.regexp_extract(s, age, 2)
+    size = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3_600).when(unit == "d", 86_400)
+    count = F.regexp_extract(s, age, 1).try_cast("decimal(30,0)")
+    seconds = F.when(count <= _LONGEST_AGE_DAYS * 86_400, count * size).cast("decimal(38,0)")
+    oldest = F.lit(-62_135_596_800_000_000)
+    back = F.unix_micros(F.current_timestamp() if as_of is None else as_of).cast("decimal(38,0)") - seconds * 1_000_000
+    back = F.when(seconds <= _LONGEST_AGE_DAYS * 86_400, F.greatest(back, oldest)).cast("bigint")
+    found = F.when(s.rlike(form) & (second <= 60), instant).when(s.rlike(age), back)
+    return F.timestamp_micros(F.when(found >= oldest, found))
+
+
 def instant_literal(instant: datetime, type_name: str = "timestamp") -> Column:
     """``instant`` as a literal of the log's own timestamp type.
 

@@ -6,7 +6,7 @@ rewrites whole lines, windows run per source over the whole log where the librar
 
 from __future__ import annotations
 
-from .tables import LIFECYCLE_COLUMNS, LIFECYCLE_WHERE, LOG_COLUMNS, select_list
+from .tables import LIFECYCLE_COLUMNS, LIFECYCLE_WHERE, LOG_COLUMNS, SINCE_TEXT, select_list
 
 SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)"
 
@@ -477,3 +477,24 @@ ORACLE["burst_positions"] = on_logs(
     f"SELECT {RECORD}, {_NEWEST_POSITION} FROM (SELECT * FROM logs WHERE seq >= (SELECT min(seq) FROM logs WHERE {IS_ERROR} AND seq > 500)"
     " ORDER BY seq LIMIT 80) t"
 )
+_AS_OF = "TIMESTAMP '2024-06-01 00:00:00'"
+ORACLE["since_column"] = (
+    f"WITH {RAW} SELECT seq, {SINCE_TEXT} AS text, CASE CAST(seq % 8 AS INT)"
+    " WHEN 0 THEN date_trunc('second', timestamp) + INTERVAL 1 MILLISECOND * (10 * (seq % 10) + 5) - INTERVAL 150 MINUTE"
+    " WHEN 1 THEN date_trunc('second', timestamp) + INTERVAL 1 MICROSECOND"
+    f" WHEN 2 THEN {_AS_OF} - INTERVAL 1 MINUTE * seq WHEN 3 THEN {_AS_OF} - INTERVAL 1 DAY * (seq % 50)"
+    f" WHEN 4 THEN {_AS_OF} - INTERVAL 1 HOUR * seq WHEN 7 THEN TIMESTAMP '0001-01-01 00:00:00' END AS since FROM raw"
+)
+_LEVELED = (
+    f"{lines_of('documents', 'doc_id', 'text')}, parsed AS (SELECT *, {json_doc('payload')} AS j FROM lines),"
+    f" leveled AS (SELECT payload, coalesce({structured('j')}, {text_level('payload')}) AS level FROM parsed)"
+)
+ORACLE["ingested_files"] = (
+    f"{_LEVELED} SELECT 'documents' AS source, level, payload, count(*) AS lines, CAST(1 AS BIGINT) AS first_seq,"
+    " (SELECT count(*) FROM leveled WHERE payload <> '') AS last_seq FROM leveled WHERE payload <> '' GROUP BY level, payload"
+)
+ORACLE["ingested_from_config"] = (
+    f"{_LEVELED}, every AS (SELECT 'files' AS source, level, payload FROM leveled WHERE payload <> ''"
+    " UNION ALL SELECT 'process', level, payload FROM leveled UNION ALL SELECT 'pipe', 'unknown', role FROM conversations)"
+    " SELECT source, level, payload, count(*) AS lines FROM every GROUP BY source, level, payload"
+)

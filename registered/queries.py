@@ -16,12 +16,15 @@ from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
 from logevidence.schema import LOG_SCHEMA
 from logevidence.session import staging_path
-from logevidence.sources import append_batch, append_logs, compact_in_place, evict, from_lines, read_log_table, read_records, vacuum
+from logevidence.sources import (
+    append_batch, append_logs, compact_in_place, evict, from_lines, read_lines, read_log_table, read_process_output, read_records,
+    sources_from_config, vacuum,
+)
 from logevidence.streaming import (
     follow_to, follow_traces, hydrate_and_follow, open_traces, read_after, read_traces, running_error_groups, running_source_stats, wait_for_logs,
 )
 
-from .tables import lifecycle, log_stream, logs, raw_logs, table, text_lines
+from .tables import SINCE_TEXT, lifecycle, log_stream, logs, raw_logs, table, text_lines
 
 SINCE = "2024-01-15T00:00:00Z"
 CURSORS = (0, 1, 50, 99_999, 100_000, 10_000_000)
@@ -537,6 +540,40 @@ def incremental_steps(spark, sf):
     return steps[0].unionByName(steps[1])
 
 
+def since_column(spark, sf):
+    """Instants and ages of a column: fractions, offsets, units, and values that name no instant."""
+    text = F.expr(SINCE_TEXT).alias("text")
+    rows = raw_logs(table(spark, sf, "events")).select("seq", text)
+    as_of = F.lit("2024-06-01 00:00:00Z").cast("timestamp")
+    return rows.select("seq", "text", fn.since_instant(F.col("text"), as_of).cast("timestamp_ntz").alias("since"))
+
+
+def _text_files(spark, sf, folder: str) -> str:
+    """The lines of all documents as text files."""
+    path = staging_path(spark, folder)
+    text_lines(spark, sf, "documents", "doc_id", "text").select(F.coalesce("payload", F.lit("")).alias("value")).write.text(path)
+    return path
+
+
+def ingested_files(spark, sf):
+    """Text files read with their positions, appended to a table, and read back; seq is without gaps."""
+    path = staging_path(spark, "log")
+    append_batch(read_lines(spark, _text_files(spark, sf, "files"), "documents", positions=True), path)
+    rows = read_log_table(spark, path)
+    bounds = rows.agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return rows.groupBy("source", "level", "payload").agg(F.count(F.lit(1)).alias("lines")).crossJoin(F.broadcast(bounds))
+
+
+def ingested_from_config(spark, sf):
+    """Files and a pipe that a configuration names, and process output that keeps its empty lines."""
+    path = _text_files(spark, sf, "configured")
+    pipe = table(spark, sf, "conversations").select(F.col("role").alias("line"))
+    config = {"sources": {"file": [{"path": path, "label": "files"}], "stdin": "pipe"}}
+    both = sources_from_config(spark, config, stdin_lines=pipe).select("source", "level", "payload")
+    every = both.unionByName(read_process_output(spark, path, "process", positions=False).select("source", "level", "payload"))
+    return every.groupBy("source", "level", "payload").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def newest_positions(spark, sf):
     """The newest rows with their place in the answer."""
     return with_position(_records(newest(logs(spark, sf), 120)))

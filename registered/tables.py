@@ -34,6 +34,19 @@ LOG_COLUMNS = {
  END""",
 }
 
+# Instants and ages in all forms, also such as name none; the SQL of the check tells their meaning from seq and timestamp.
+SINCE_TEXT = """
+ CASE CAST(seq % 8 AS INT)
+  WHEN 0 THEN substring(CAST(timestamp AS VARCHAR(30)), 1, 10) || 'T' || substring(CAST(timestamp AS VARCHAR(30)), 12, 8) || '.0' || CAST(seq % 10 AS VARCHAR(20)) || '5+02:30'
+  WHEN 1 THEN substring(CAST(timestamp AS VARCHAR(30)), 1, 10) || ' ' || substring(CAST(timestamp AS VARCHAR(30)), 12, 8) || '.0000001z'
+  WHEN 2 THEN ' ' || CAST(seq AS VARCHAR(20)) || 'm'
+  WHEN 3 THEN '+' || CAST(seq % 50 AS VARCHAR(20)) || 'd '
+  WHEN 4 THEN CAST(seq AS VARCHAR(20)) || 'h'
+  WHEN 5 THEN '2024-13-01T00:00:00Z'
+  WHEN 6 THEN CAST(seq AS VARCHAR(20)) || 'w'
+  ELSE '9999999d'
+ END"""
+
 # Lifecycle events: some sources register, two of the log's sources never do, one registers and stays quiet.
 LIFECYCLE_COLUMNS = {
     "name": "CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'api' WHEN 1 THEN 'web' WHEN 3 THEN 'db' ELSE 'quiet-api' END",

@@ -187,3 +187,20 @@ def test_parse_since():
     for bad in ("yesterday", "-5m", "", "é", "🔥", "5", "m", "5w", "2026-13-01T00:00:00Z", "2026-04-04"):
         with pytest.raises(ValueError, match="since"):
             fn.parse_since(bad)
+
+
+def test_since_of_a_column_is_that_of_a_value(apply):
+    texts = [
+        "5m", " 1d ", "+3h", "90s", "9999999d", "7w", "", "m", "2025-02-28T23:59:60Z", "2025-02-29T00:00:00Z", "2024-02-29t10:00:00.1234567-11:30",
+        "2024-02-29 10:00:00+00:00", "2024-02-29T10:00:00", "2024-02-29T10:00:00.Z", "0001-01-01T00:00:00Z", "2024-12-31T23:59:59.9999999Z",
+    ]
+    as_of = datetime(2026, 3, 2, 8, 30, tzinfo=timezone.utc)
+
+    def plain(text):
+        try:
+            return fn.parse_since(text, as_of).replace(tzinfo=None)
+        except ValueError:
+            return None
+
+    got = apply(lambda c: fn.since_instant(c, F.lit("2026-03-02 08:30:00Z").cast("timestamp")).cast("timestamp_ntz"), [*texts, None])
+    assert got == [*map(plain, texts), None]
