@@ -17,7 +17,8 @@ import brute  # noqa: E402
 from logevidence.llm import jaccard, suffixes  # noqa: E402
 from logevidence.llm.decontaminate import contamination, verdicts  # noqa: E402
 from logevidence.llm.jaccard import linked_documents, shingle_sets  # noqa: E402
-from logevidence.llm.licences import KNOWN, find_licences  # noqa: E402
+from logevidence.llm.licence_texts import KNOWN, NOTICES, TEXTS  # noqa: E402
+from logevidence.llm.licences import find_licences  # noqa: E402
 from logevidence.llm.privacy import digests, private_spans, sanitised  # noqa: E402
 from logevidence.llm.suffixes import HashedSuffixes, repeated_spans, repeated_starts  # noqa: E402
 
@@ -291,10 +292,40 @@ def test_privacy_of_an_empty_table(spark):
 
 
 def test_licences(spark):
-    known = spark.createDataFrame([*KNOWN, ("X", None), ("Y", "...")], "license_id string, text string")
+    known = spark.createDataFrame([*NOTICES, ("X", None), ("Y", "...")], "license_id string, text string")
     texts = ["RELEASED  under the mit LICENCE", "Copyright 2020 Someone\nReleased under the MIT License.", "not released under the MIT License.",
              "a\n\tlicensed under CC-BY 4.0 !\nb", "Licensed under the Apache License, Ver. 2.0"]
-    for most in (100_000, 0):
-        found = {tuple(r) for r in find_licences(brute.frame(spark, texts + brute.EDGES), known, most).collect()}
-        assert found == {(1, "text", 0, "MIT"), (1, "line", 1, "MIT"), (2, "text", 0, "MIT"), (2, "line", 2, "MIT"), (4, "line", 2, "CC-BY-4.0"), (5, "text", 0, "Apache-2.0"), (5, "line", 1, "Apache-2.0")}
+    found = {tuple(r) for r in find_licences(brute.frame(spark, texts + brute.EDGES), known).collect()}
+    assert found == {
+        (1, "text", 0, "MIT"), (1, "line", 1, "MIT"), (1, "run", 1, "MIT"), (2, "text", 0, "MIT"), (2, "line", 2, "MIT"), (2, "run", 1, "MIT"),
+        (3, "run", 2, "MIT"), (4, "line", 2, "CC-BY-4.0"), (4, "run", 2, "CC-BY-4.0"), (5, "text", 0, "Apache-2.0"), (5, "line", 1, "Apache-2.0"), (5, "run", 1, "Apache-2.0"),
+    }
     assert find_licences(brute.frame(spark, texts).limit(0), known).collect() == []
+
+
+def test_whole_licence_texts_within_other_words_and_wrapped_anew(spark):
+    r = random.Random(6)
+    texts = []
+    for _, text in TEXTS:
+        wrapped = "".join(w + r.choice([" ", " ", "\n", "\n   "]) for w in text.replace("License", "Licence").split())
+        texts.append(f"Copyright (c) 2021 The Holder\nsome code here {wrapped} and then more")
+    known = spark.createDataFrame([*KNOWN, ("one", "Zebra"), ("two", "striped zebra")], "license_id string, text string")
+    texts.append("a striped zebra")
+    found = find_licences(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"), known).collect()
+    runs = {(x["doc_id"], x["license_id"]) for x in found if x["scope"] == "run"}
+    assert {(i, name) for i, (name, _) in enumerate(TEXTS, 1)} | {(len(texts), "one"), (len(texts), "two")} <= runs
+    assert [x["line"] for x in found if (x["scope"], x["license_id"]) == ("run", "one")] == [3]
+    assert not any(x["scope"] in ("text", "line") for x in found if x["doc_id"] < len(texts))
+
+
+def test_groups_of_equal_hashes_are_parted_by_their_bytes():
+    data = np.frombuffer(b"abcabdabcxyz", np.uint8)
+    start = np.array([0, 3, 6, 9])
+    same = np.zeros(4, np.uint64)
+    order, new = suffixes.checked_groups(data, same, same, start, start + 3)
+    groups = [sorted(g.tolist()) for g in np.split(order, np.flatnonzero(new)[1:])]
+    assert groups == [[0, 2], [1], [3]]
+    order, new = suffixes.checked_groups(data, same[:2], same[:2], start[[0, 2]], start[[0, 2]] + 3)
+    assert new.tolist() == [True, False]
+    digests = suffixes.digests_of(data, start, start + 3, same)
+    assert digests[0] == digests[2] and len(set(digests.tolist())) == 3
