@@ -57,16 +57,14 @@ def _carries(heads: DataFrame, n: int, range_chunks: int) -> DataFrame:
     in_range = Window.partitionBy("source", "range").orderBy("chunk")
     after, upto = in_range.rowsBetween(1, n), in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # each later chunk gives at least one row, so n chunks are enough
-    near = heads.select(
-        "source", "chunk", "range", "head", _following(F.collect_list("head").over(after), n).alias("near"),
-        F.count(F.lit(1)).over(upto).alias("place"),
-    )
+    near = heads.withColumn("later", F.collect_list("head").over(after)).withColumn("place", F.count(F.lit(1)).over(upto))
+    near = near.select("source", "chunk", "range", "head", _following(F.col("later"), n).alias("near"), "place")
     ranges = near.where(F.col("place") <= n).groupBy("source", "range").agg(
         _following(F.transform(F.array_sort(F.collect_list(F.struct("place", "head"))), lambda x: x["head"]), n).alias("whole")
     )
     by_range = Window.partitionBy("source").orderBy("range").rowsBetween(1, n)
-    far = ranges.select(
-        F.col("source").alias("of"), F.col("range").alias("at"), _following(F.collect_list("whole").over(by_range), n).alias("far")
+    far = ranges.withColumn("later", F.collect_list("whole").over(by_range)).select(
+        F.col("source").alias("of"), F.col("range").alias("at"), _following(F.col("later"), n).alias("far")
     )
     # every range has its row; a left join adds no filter that would keep the log's exchange from being shared
     joined = near.join(far, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")), "left")
