@@ -36,6 +36,15 @@ def _is_closed(lines: Column, n: int) -> Column:
     return (F.size(lines) >= n) | F.exists(lines["kind"], lambda k: k.bitwiseAND(_BREAK) == _BREAK)
 
 
+def _with_gaps(lines: Column, at: Column, gap: Column) -> Column:
+    """Lines of struct<kind,line,at>, of which those more than ``gap`` after the one before them start an event."""
+    def kind(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, at).otherwise(F.get(lines, i - 1)["at"])
+        return x["kind"].bitwiseOR(F.when(x["at"] > before + gap, F.lit(_BREAK)).otherwise(F.lit(0)))
+
+    return F.transform(lines, lambda x, i: F.struct(kind(x, i).alias("kind"), x["line"].alias("line"), x["at"].alias("at")))
+
+
 def _until_break(lines: Column, n: int) -> Column:
     """The first ``n`` lines up to the first one that starts an event, that one included."""
     stop = F.array_position(F.transform(lines["kind"], lambda k: k.bitwiseAND(_BREAK)), _BREAK)
@@ -78,10 +87,13 @@ def trailing_context(
     max_payload_chars: int = DEFAULT_PAYLOAD_CHARS,
     chunk_rows: int = CHUNK_ROWS,
     carry_chunks: int = CARRY_CHUNKS,
+    gap: str | None = None,
 ) -> DataFrame:
     """Context of every anchor row (all rows by default): ``seq, source, context, closed``.
 
-    ``closed`` says that no later row can add to the context.
+    ``closed`` says that no later row can add to the context. With ``gap`` (an interval, say "30 SECONDS") a row that comes
+    more than that after the row of its source before it belongs to no context either, and ``open_until`` gives the
+    time from which on no row can add to the context; a row without a time makes no gap and leaves that open (null).
 
     The log is grouped by source *and* chunk, so one hot source is spread over many tasks.
     What an anchor near the end of a chunk still lacks is the head (first ``n`` rows) of the
@@ -97,12 +109,13 @@ def trailing_context(
     # exactly these columns go through the exchange, whichever of the two uses reads it
     narrow = logs.select(
         "seq", "source", chunk_of(F.col("seq"), chunk_rows).alias("chunk"),
-        F.struct(kind.alias("kind"), line.alias("line")).alias("item"),
+        F.struct(kind.alias("kind"), line.alias("line"), *([F.col("timestamp").alias("at")] if gap else [])).alias("item"),
     )
     is_anchor = F.col("item.kind").bitwiseAND(_ANCHOR) == _ANCHOR
     if n == 0:
         empty = F.array().cast("array<string>")
-        return narrow.where(is_anchor).select("seq", "source", empty.alias("context"), F.lit(True).alias("closed"))
+        until = [F.col("item.at").alias("open_until")] if gap else []
+        return narrow.where(is_anchor).select("seq", "source", empty.alias("context"), F.lit(True).alias("closed"), *until)
 
     by_seq = Window.partitionBy("source", "chunk").orderBy("seq")
     rows = narrow.withColumn("lines", F.collect_list("item").over(by_seq.rowsBetween(1, n))).where(is_anchor)
@@ -118,8 +131,13 @@ def trailing_context(
         .select("source", "chunk", _until_break(F.col("head.item"), n).alias("head"))
     )
     carries = _carries(heads, n, carry_chunks)
-    none = F.array().cast("array<struct<kind:int,line:string>>")
-    lines = F.slice(F.concat("lines", F.coalesce("carry", none)), 1, n)
+    none = F.array().cast(carries.schema["carry"].dataType)
+    lines, until = F.slice(F.concat("lines", F.coalesce("carry", none)), 1, n), []
+    if gap:
+        length = F.expr(f"INTERVAL {gap}")
+        lines = _with_gaps(lines, F.col("item.at"), length)
+        own = F.size(_cut(F.col("lines"), n))
+        until = [(F.when(own == 0, F.col("item.at")).otherwise(F.get(F.col("lines"), own - 1)["at"]) + length).alias("open_until")]
     carries = carries.select(F.col("source").alias("of"), F.col("chunk").alias("at"), "carry")
     return (
         # rows without a source have contexts too
@@ -130,6 +148,7 @@ def trailing_context(
             "source",
             _cut(F.col("lines"), n).alias("context"),
             _is_closed(F.col("lines"), n).alias("closed"),
+            *until,
         )
     )
 

@@ -19,6 +19,15 @@ def horizon(logs: DataFrame) -> DataFrame:
     )
 
 
+def horizon_of(counters: DataFrame) -> DataFrame:
+    """`horizon` from counters per source."""
+    return counters.agg(
+        F.min("first_seq").alias("buffer_start_cursor"),
+        F.coalesce(F.max("last_seq"), F.lit(0)).alias("next_cursor"),
+        F.min_by("first_seen", "first_seq").alias("buffer_starts_at"),
+    )
+
+
 def cursor_gap(cursor: int | Column | None) -> Column:
     """Over a `horizon` row: rows after ``cursor`` were lost, or it lies beyond the log."""
     if cursor is None:
@@ -80,6 +89,16 @@ def status(logs: DataFrame) -> DataFrame:
     )
 
 
+def status_of(counters: DataFrame) -> DataFrame:
+    """`status` from counters per source."""
+    return counters.agg(
+        F.lit(True).alias("ok"),
+        F.lit(__version__).alias("version"),
+        F.coalesce(F.sum("total"), F.lit(0)).alias("buffered"),
+        F.coalesce(F.max("last_seq"), F.lit(0)).alias("cursor"),
+    )
+
+
 def filtered_count(logs: DataFrame, condition: Column) -> DataFrame:
     """One row, ``total``: rows that pass an interactive filter."""
     return logs.agg(F.count_if(condition).alias("total"))

@@ -13,7 +13,7 @@ STATUS_ORDER = ("failed", "exited", "starting", "running")
 
 
 def source_counters(logs: DataFrame) -> DataFrame:
-    """``name, total, errors, warns, last_seen, first_seq, last_seq`` per source.
+    """``name, total, errors, warns, first_seen, last_seen, first_seq, last_seq`` per source.
 
     Fixed-width values only, so this is one hash aggregate with map-side combine and reads no payload.
     """
@@ -21,12 +21,25 @@ def source_counters(logs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("level") == "error").alias("errors"),
         F.count_if(F.col("level") == "warn").alias("warns"),
+        F.min_by("timestamp", "seq").alias("first_seen"),
         F.max_by("timestamp", "seq").alias("last_seen"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
     )
 
 
+def merged_counters(parts: DataFrame) -> DataFrame:
+    """Counters of a log from those of its parts, ``last_line`` included; seq ranges of the parts may interleave."""
+    return parts.groupBy("name").agg(
+        *(F.sum(c).alias(c) for c in ("total", "errors", "warns")),
+        F.min_by("first_seen", "first_seq").alias("first_seen"),
+        F.max_by("last_seen", "last_seq").alias("last_seen"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.max_by("last_line", "last_seq").alias("last_line"),
+    )
+
+
 def source_stats(logs: DataFrame) -> DataFrame:
     """Counters of every source with its newest line, noisiest in errors first.
 
@@ -34,14 +47,19 @@ def source_stats(logs: DataFrame) -> DataFrame:
     are staged, then the newest line of each source is fetched by its seq, reading only what
     is newer than the oldest of those seqs.
     """
+    return ranked_stats(counters_with_last_line(logs))
+
+
+def ranked_stats(counters: DataFrame) -> DataFrame:
+    """Sources with their newest line, noisiest in errors first, from counters."""
     return (
-        _with_last_line(logs)
-        .orderBy(F.col("errors").desc(), F.col("total").desc(), F.col("first_seq").asc())
+        counters.orderBy(F.col("errors").desc(), F.col("total").desc(), F.col("first_seq").asc())
         .select("name", "total", "errors", "warns", "last_seen", "last_line")
     )
 
 
-def _with_last_line(logs: DataFrame) -> DataFrame:
+def counters_with_last_line(logs: DataFrame) -> DataFrame:
+    """`source_counters` with ``last_line``; runs one job, which stages the counters."""
     counters = stage(source_counters(logs))
     oldest_wanted = counters.agg(F.min("last_seq")).scalar()
     lines = logs.where(F.col("seq") >= oldest_wanted).select(
@@ -56,7 +74,12 @@ def source_totals(logs: DataFrame) -> DataFrame:
 
     Columns: ``position, source, total``. The rollup runs over the per-source counts, not over the log.
     """
-    counts = logs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    return totals_of(logs.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("total"), F.min("seq").alias("first_seq")))
+
+
+def totals_of(counters: DataFrame) -> DataFrame:
+    """`source_totals` from counters."""
+    counts = counters.select(F.col("name").alias("source"), F.col("total").alias("n"), "first_seq")
     rolled = counts.rollup("source", "first_seq").agg(F.sum("n").alias("total"), F.grouping_id().alias("g"))
     return (
         rolled.where(F.col("g").isin(0, 3))
@@ -96,7 +119,12 @@ def source_views(logs: DataFrame, lifecycle_events: DataFrame) -> DataFrame:
     A registered source without rows has zero counts; a source that only shows up in the log is
     ``observed``, as of its last line.
     """
-    stats = _with_last_line(logs).drop("first_seq", "last_seq")
+    return views_of(counters_with_last_line(logs), lifecycle_events)
+
+
+def views_of(counters: DataFrame, lifecycle_events: DataFrame) -> DataFrame:
+    """`source_views` from counters."""
+    stats = counters.drop("first_seen", "first_seq", "last_seq")
     state = lifecycle_state(lifecycle_events)
     return (
         state.join(stats, "name", "full_outer")

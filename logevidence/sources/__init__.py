@@ -4,8 +4,9 @@ from .config import parse_config, sources_from_config
 from .lines import from_lines, read_containers, read_lines, read_process_output
 from .log_table import append_batch, append_logs, compact, compact_in_place, evict, read_log_table, vacuum
 from .records import read_records, write_records
+from .summaries import read_counters
 
 __all__ = [
     "append_batch", "append_logs", "compact", "compact_in_place", "evict", "from_lines", "parse_config", "read_containers", "read_lines",
-    "read_log_table", "read_process_output", "read_records", "vacuum", "sources_from_config", "write_records",
+    "read_counters", "read_log_table", "read_process_output", "read_records", "vacuum", "sources_from_config", "write_records",
 ]

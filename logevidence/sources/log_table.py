@@ -2,7 +2,7 @@
 
 Layout: ``<path>/stream=<id>/batch=<n>/*.parquet`` holds batches as they came, each in a folder that is written once;
 ``<path>/_merged/<id>/*.parquet`` what a compaction made of several; ``<path>/_versions/<n>.json`` which of them are live (see
-`manifest`). A batch is part of the table once a version names it, so a batch that is repeated after a failure is seen once.
+`manifest`); ``<path>/_summaries`` counters of each of them (see `summaries`). A batch is part of the table once a version names it, so a batch that is repeated after a failure is seen once.
 Seq rises with the batches, so file and row-group statistics on ``seq`` and ``timestamp`` let readers skip what lies outside a
 cursor or a time range. One writer appends at a time; compaction, eviction and readers may run beside it.
 """
@@ -22,7 +22,8 @@ from ..operators.order import assign_seq, retain_newest
 from ..schema import CHUNK_ROWS, LOG_SCHEMA
 from ..session import unstage
 from .lines import FILE_POSITION, LINE_ID
-from .manifest import Folder, TableFiles, Version, at_version, latest, publish
+from .manifest import TableFiles, Version, at_version, latest, publish
+from .summaries import summary_of, write_summary
 
 _TABLE_SCHEMA = T.StructType(
     [*LOG_SCHEMA.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
@@ -30,9 +31,13 @@ _TABLE_SCHEMA = T.StructType(
 _COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
 
-def read_log_table(spark: SparkSession, path: str, stream: bool = False, version: int | None = None) -> DataFrame:
+def read_log_table(
+    spark: SparkSession, path: str, stream: bool = False, version: int | None = None, after: int | None = None
+) -> DataFrame:
     """The retained log as of its newest version, or of an older one that `vacuum` has not removed.
 
+    ``after`` leaves out rows up to that seq, and does not even look into folders that hold no newer ones.
+
     ``stream=True`` follows the table: every appended batch arrives once, whatever compaction and eviction
     do meanwhile; a follower must read a batch before `vacuum` removes it.
     """
@@ -41,15 +46,22 @@ def read_log_table(spark: SparkSession, path: str, stream: bool = False, version
     files = TableFiles(spark, path)
     now = latest(files) if version is None else at_version(files, version)
     if now.number:
-        return _rows(files, now)
+        return _rows(files, now if after is None else _after(now, after))
     try:
-        return spark.read.schema(_TABLE_SCHEMA).parquet(path).select(*_COLUMNS)  # written without versions
+        rows = spark.read.schema(_TABLE_SCHEMA).parquet(path).select(*_COLUMNS)  # written without versions
+        return rows if after is None else rows.where(F.col("seq") > after)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LOG_SCHEMA)  # nothing was ever written
 
 
+def _after(version: Version, seq: int) -> Version:
+    """A version without the rows up to ``seq``."""
+    floor = max(version.floor, seq)
+    return replace(version, floor=floor, folders=tuple(f for f in version.folders if f.last > floor))
+
+
 def _rows(files: TableFiles, version: Version) -> DataFrame:
     spark, paths = files.spark, [f"{files.path}/{f.name}" for f in version.folders]
     if not paths:
@@ -58,13 +70,6 @@ def _rows(files: TableFiles, version: Version) -> DataFrame:
     return rows.where(F.col("seq") > version.floor) if version.floor else rows
 
 
-def _folder(spark: SparkSession, path: str, name: str) -> Folder:
-    """What a written folder holds."""
-    rows = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/{name}")
-    count, first, last = rows.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
-    return Folder(name, count, first, last)
-
-
 def append_batch(
     batch: DataFrame, path: str, stream_id: str = "manual", batch_id: int = 0, order_by: tuple[str | Column, ...] = ()
 ) -> int:
@@ -93,7 +98,7 @@ def append_batch(
         numbered = assign_seq(batch, *order_by, start=now.last + 1)
         numbered.select(*_COLUMNS).write.mode("overwrite").parquet(f"{files.path}/{name}")
         unstage(numbered)
-    folder = _folder(spark, files.path, name)
+    folder = write_summary(spark, files.path, name)
     return publish(files, lambda v: None if v.published(stream_id, batch_id) else v.with_batch(stream_id, batch_id, folder)).last
 
 
@@ -108,7 +113,7 @@ def _adopt(files: TableFiles) -> Version:
     version = Version()
     for stream, batch in sorted(found):
         id_, number = stream.removeprefix("stream="), int(batch.removeprefix("batch="))
-        version = version.with_batch(id_, number, _folder(files.spark, files.path, f"{stream}/{batch}"))
+        version = version.with_batch(id_, number, write_summary(files.spark, files.path, f"{stream}/{batch}"))
     return publish(files, lambda v: version if not v.number else None)
 
 
@@ -140,10 +145,8 @@ def evict(spark: SparkSession, path: str, keep: int) -> int:
     Nothing is rewritten: the new version says from which seq on rows count and drops the folders below it.
     """
     def change(now: Version) -> Version | None:
-        floor = max(now.floor, now.last - max(keep, 1))
-        if floor == now.floor:
-            return None
-        return replace(now, floor=floor, folders=tuple(f for f in now.folders if f.last > floor))
+        then = _after(now, now.last - max(keep, 1))
+        return None if then.floor == now.floor else then
 
     return publish(TableFiles(spark, path), change).floor
 
@@ -160,7 +163,7 @@ def compact_in_place(spark: SparkSession, path: str, rows_per_file: int = CHUNK_
         return seen
     name, old = f"_merged/{uuid.uuid4().hex}", {f.name for f in seen.folders}
     _write_ordered(_rows(files, seen), f"{files.path}/{name}", rows_per_file)
-    merged = _folder(spark, files.path, name)
+    merged = write_summary(spark, files.path, name)
 
     def change(now: Version) -> Version | None:
         rest = tuple(f for f in now.folders if f.name not in old)
@@ -170,7 +173,7 @@ def compact_in_place(spark: SparkSession, path: str, rows_per_file: int = CHUNK_
 
     then = publish(files, change)
     if all(f.name != name for f in then.folders):
-        files.delete(name)
+        _delete(files, name)
     return then
 
 
@@ -193,12 +196,17 @@ def vacuum(spark: SparkSession, path: str, grace_seconds: float) -> list[str]:
             gone += [f"{stream}/{b}" for b in files.names(stream) if now.published(id_, int(b.removeprefix("batch=")))]
     gone = sorted(n for n in gone if n not in needed)
     for name in gone:
-        files.delete(name)
+        _delete(files, name)
     for number in set(stamps) - set(kept):
         files.delete(f"_versions/{number:012d}.json")
     return gone
 
 
+def _delete(files: TableFiles, name: str) -> None:
+    files.delete(name)
+    files.delete(summary_of(name))
+
+
 def _write_ordered(logs: DataFrame, target: str, rows_per_file: int) -> None:
     logs.repartitionByRange("seq").sortWithinPartitions("seq").write.option("maxRecordsPerFile", rows_per_file).parquet(target)
 

@@ -33,7 +33,8 @@ def unique_by_seq(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream in which every seq appears once.
 
     Rows with the same seq are the same row, so the first one is as good as the last. State is
-    bounded by the watermark; the log's ``timestamp`` must be of type TIMESTAMP for it.
+    bounded by the watermark; the log's ``timestamp`` must be of type TIMESTAMP for it. Repeats that come more
+    than ``delay`` later may pass; `follow_unique` lets none pass.
     """
     return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["seq"])
 

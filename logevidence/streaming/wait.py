@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import threading
 import time
 from collections.abc import Callable
@@ -29,7 +30,8 @@ def wait_for_logs(
 ) -> Result:
     """The burst from the first matching record on; runs jobs until it is there or time is up.
 
-    ``logs`` reads the retained log afresh on every call. A match already in it answers at once
+    ``logs`` reads the retained log afresh on every call; where it takes ``after`` (`partial(read_log_table, spark, path)`
+    does), what is new is looked for in the batches after the snapshot alone. A match already in it answers at once
     (``matched_from_buffer``) unless ``require_new``. Otherwise the first match with a seq
     above the log's newest at the time of the call ends the wait: it is looked for in ``stream``
     (a streaming read of the log) where given, else by reading what is new in the log again
@@ -56,14 +58,27 @@ def wait_for_logs(
     waited = int((time.monotonic() - started) * 1000)
     if anchor is None:
         return _nothing(logs(), args, waited)
+    if stream is not None:
+        _until_retained(logs, anchor, deadline)
     time.sleep(settle_ms / 1000)
     return _burst(logs(), anchor, args, int((time.monotonic() - started) * 1000), False)
 
 
+def _newer(logs: Callable[..., DataFrame], cursor: int) -> DataFrame:
+    """Rows after the cursor: a reader that takes it looks into newer folders alone; it is pushed into the scan of any other."""
+    rows = logs(after=cursor) if "after" in inspect.signature(logs).parameters else logs()
+    return rows.where(F.col("seq") > cursor)
+
+
+def _until_retained(logs: Callable[..., DataFrame], anchor: int, deadline: float) -> None:
+    """Waits for a record that a stream has seen to be part of the log: files of a batch can be seen before a version names it."""
+    while _newer(logs, anchor - 1).isEmpty() and time.monotonic() < deadline:
+        time.sleep(_POLL_MS / 1000)
+
+
 def _find_in_log(logs, condition, snapshot, deadline) -> int | None:
     while True:
-        # the cursor is pushed into the scan: only what is new is read
-        anchor = first_match_after(logs(), condition, snapshot).first()[0]
+        anchor = first_match_after(_newer(logs, snapshot), condition, snapshot).first()[0]
         if anchor is not None or time.monotonic() >= deadline:
             return anchor
         time.sleep(min(_POLL_MS / 1000, max(deadline - time.monotonic(), 0)))

@@ -454,6 +454,17 @@ ORACLE["streamed_traces_null_source"] = (
     f"WITH {LOGS}, nulled AS (SELECT * REPLACE ({_SOME} AS source) FROM logs), {context(8, IS_ERROR).replace('FROM logs', 'FROM nulled')}"
     " SELECT seq, source, context FROM ctx"
 )
+_GAP = "timestamp - lag(timestamp) OVER (PARTITION BY source ORDER BY seq) > INTERVAL 3 MINUTE"
+ORACLE["streamed_traces_timeout"] = ORACLE["streamed_traces_null_source"].replace("level <> 'unknown' OR", f"level <> 'unknown' OR {_GAP} OR")
+ORACLE["streamed_unique"] = on_logs(f"SELECT {RECORD} FROM logs")
+ORACLE["kept_source_statistics"] = ORACLE["source_statistics"]
+_LAST_400 = f"WITH {LOGS.replace(' logs AS (', ' whole AS (')}, logs AS (SELECT * FROM whole WHERE seq > (SELECT max(seq) FROM whole) - 400)"
+ORACLE["kept_source_views"] = f"{_LAST_400}, {STATS}, {STATE}, {VIEWS} SELECT * FROM views"
+ORACLE["kept_totals"] = (
+    f"{_LAST_400}, h AS (SELECT min(seq) AS buffer_start_cursor, max(seq) AS next_cursor, arg_min(timestamp, seq) AS buffer_starts_at FROM logs),"
+    " t AS (SELECT min(seq) AS position, source, count(*) AS total FROM logs GROUP BY source"
+    " UNION ALL SELECT 0 AS position, 'all' AS source, count(*) AS total FROM logs) SELECT * FROM t, h"
+)
 ORACLE["compacted_log"] = on_logs(
     f"SELECT {RECORD}, (SELECT count(*) FROM logs) AS seen, (SELECT count(*) FROM logs) AS seen_once FROM logs ORDER BY seq DESC LIMIT 2500"
 )

@@ -11,7 +11,9 @@ from logevidence.operators import (
     horizon, interactive_filter, latest_match, lifecycle_state, log_filter, merge_sources, newest, page_slice,
     retain_newest, settled_burst, source_stats, source_totals, source_views, status, tail_per_source, trailing_context, with_position,
 )
-from logevidence.plans import recent_errors, records, search_logs
+from logevidence.plans import (
+    recent_errors, records, search_logs, table_horizon, table_source_stats, table_source_totals, table_sources,
+)
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
 from logevidence.schema import LOG_SCHEMA
@@ -21,7 +23,8 @@ from logevidence.sources import (
     sources_from_config, vacuum,
 )
 from logevidence.streaming import (
-    follow_to, follow_traces, hydrate_and_follow, open_traces, read_after, read_traces, running_error_groups, running_source_stats, wait_for_logs,
+    follow_to, follow_traces, follow_unique, hydrate_and_follow, open_traces, read_after, read_traces, read_unique, running_error_groups,
+    running_source_stats, wait_for_logs,
 )
 
 from .tables import SINCE_TEXT, lifecycle, log_stream, logs, raw_logs, table, text_lines
@@ -468,12 +471,8 @@ def tail_null_source(spark, sf):
 
 def streamed_traces_null_source(spark, sf):
     """Live traces of rows of which a third names no source, in many small batches of the log table."""
-    path, table_path, is_error = staging_path(spark, "traces"), staging_path(spark, "log"), F.col("level") == "error"
-    rows = _without_some_sources(logs(spark, sf))
-    last = rows.agg(F.max("seq")).first()[0] or 0
-    for i in range(3):
-        part = rows.where((F.col("seq") > i * last / 3) & (F.col("seq") <= (i + 1) * last / 3))
-        append_batch(part, table_path, "parts", i, order_by=("seq",))
+    path, is_error = staging_path(spark, "traces"), F.col("level") == "error"
+    table_path = _table_in_parts(spark, _without_some_sources(logs(spark, sf)), 3)
     stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(table_path)
     query = follow_traces(stream, path, staging_path(spark, "run"), is_error, availableNow=True)
     query.awaitTermination()
@@ -482,6 +481,64 @@ def streamed_traces_null_source(spark, sf):
     return done.unionByName(still_open).withColumn("context", F.array_join("context", "|"))
 
 
+def _table_in_parts(spark, rows: DataFrame, parts: int) -> str:
+    """A log table that the rows were appended to in several batches."""
+    path, last = staging_path(spark, "log"), rows.agg(F.max("seq")).first()[0] or 0
+    for i in range(parts):
+        part = rows.where((F.col("seq") > i * last / parts) & (F.col("seq") <= (i + 1) * last / parts))
+        append_batch(part, path, "parts", i, order_by=("seq",))
+    return path
+
+
+def streamed_traces_timeout(spark, sf):
+    """Live traces in many small batches; an event closes when its source is silent for three minutes, and nothing later belongs to it."""
+    path, is_error, gap = staging_path(spark, "traces"), F.col("level") == "error", "3 MINUTES"
+    table_path = _table_in_parts(spark, _without_some_sources(logs(spark, sf)), 3)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(table_path)
+    query = follow_traces(stream, path, staging_path(spark, "run"), is_error, timeout=gap, availableNow=True)
+    query.awaitTermination()
+    done = read_traces(spark, path).select("seq", "source", "context")
+    last_batch = (query.lastProgress or {}).get("batchId", 0)
+    still_open = open_traces(spark, path, last_batch, is_error, timeout=gap).select("seq", "source", "context")
+    return done.unionByName(still_open).withColumn("context", F.array_join("context", "|"))
+
+
+def streamed_unique(spark, sf):
+    """A stream that repeats rows after any time: each seq comes through once."""
+    rows, source, out = logs(spark, sf), staging_path(spark, "repeats"), staging_path(spark, "unique")
+    numbered = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    late = numbered.where("seq % 7 = 0")
+    for part in (numbered.where("seq % 2 = 0"), late, numbered.where("seq % 3 > 0").unionByName(late), numbered.where("seq % 5 <= 3"), numbered):
+        part.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    follow_unique(stream, out, staging_path(spark, "run"), chunk_rows=4096, availableNow=True).awaitTermination()
+    return _records(read_unique(spark, out).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def kept_source_statistics(spark, sf):
+    """Statistics of a log table from the counters beside it, some of its batches merged."""
+    path = _table_in_parts(spark, logs(spark, sf), 3)
+    compact_in_place(spark, path)
+    return table_source_stats(spark, path).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+def kept_source_views(spark, sf):
+    """Sources with their state after an eviction that cuts through a batch."""
+    path = _table_in_parts(spark, logs(spark, sf), 4)
+    evict(spark, path, 400)
+    events = lifecycle(spark, sf).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    views = table_sources(spark, path, events).rows
+    return views.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_seen", "status_changed_at")})
+
+
+def kept_totals(spark, sf):
+    """Rows per source, and the horizon of the log, from the counters of a table."""
+    path = _table_in_parts(spark, logs(spark, sf), 4)
+    evict(spark, path, 400)
+    seen = table_horizon(spark, path).withColumn("buffer_starts_at", F.col("buffer_starts_at").cast("timestamp_ntz"))
+    return table_source_totals(spark, path).crossJoin(F.broadcast(seen))
+
+
 def compacted_log(spark, sf):
     """A table of five batches after eviction and compaction; a follower that began before still sees every row once."""
     path, out, rows = staging_path(spark, "log"), staging_path(spark, "seen"), logs(spark, sf)

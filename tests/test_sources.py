@@ -1,18 +1,21 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from logevidence.operators import log_filter
-from logevidence.plans import recent_errors
+from logevidence.functions import detect_level
+from logevidence.operators import horizon, log_filter, source_stats, source_totals, status
+from logevidence.plans import recent_errors, table_horizon, table_source_stats, table_source_totals, table_status
 from logevidence.session import staging_root
 from logevidence.sources import (
     append_batch, append_logs, compact, compact_in_place, evict, from_lines, parse_config, read_containers, read_lines, read_log_table, vacuum,
-    read_process_output, read_records, sources_from_config, write_records,
+    read_counters, read_process_output, read_records, sources_from_config, write_records,
 )
+from logevidence.sources.manifest import TableFiles, publish
 from logevidence.sources.lines import POSITION
 
 
@@ -277,7 +280,7 @@ def test_staged_payload_is_removed_after_each_batch(spark, tmp_path):
     finally:
         spark.conf.set("logevidence.staging.dir", before)
     assert list((tmp_path / "shared").rglob("*.parquet")) == []
-    assert len(list((tmp_path / "log").rglob("part-*.parquet"))) == 10
+    assert len(list((tmp_path / "log").glob("stream=*/*/part-*.parquet"))) == 10
 
 
 def test_a_table_without_versions_is_adopted(spark, tmp_path):
@@ -289,3 +292,68 @@ def test_a_table_without_versions_is_adopted(spark, tmp_path):
     assert _numbers(read_log_table(spark, path)) == list(range(1, 31))
     assert append_batch(from_lines(spark.createDataFrame([("z",)], "t string"), "t", "s", positions=True), path, "y", 0) == 31
     assert _numbers(read_log_table(spark, path)) == list(range(1, 32))
+
+
+# counters beside the table
+
+
+def _several_sources(spark, path, batches=6):
+    """Batches of three sources; one of them has rows in the first batch alone, one has no name."""
+    for i in range(batches):
+        rows = [("a", f"ERROR {i}"), (None, f"WARN {i}"), ("a", f"line {i}" + "x" * 300)] + [("dead", "last words")] * (i == 0)
+        df = spark.createDataFrame([(j, *r) for j, r in enumerate(rows)], "n int, source string, payload string")
+        df = df.withColumn("timestamp", F.timestamp_seconds(F.lit(1_700_000_000 + i * 60) + F.col("n")))
+        append_batch(df.select("n", "timestamp", "source", detect_level(F.col("payload")).alias("level"), "payload"), path, "x", i, order_by=("n",))
+
+
+def _rows_read(df):
+    return [f for f in df.inputFiles() if "/log/" in f and "/_summaries/" not in f]
+
+
+def test_counters_of_a_table_equal_those_of_its_rows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert table_source_stats(spark, path).count() == 0 and table_status(spark, path).first()["buffered"] == 0
+    _several_sources(spark, path)
+
+    def same(expect_rows=False):
+        rows = read_log_table(spark, path)
+        assert bool(_rows_read(read_counters(spark, path))) == expect_rows
+        for kept, whole in (
+            (table_source_stats(spark, path), source_stats(rows)), (table_source_totals(spark, path), source_totals(rows)),
+            (table_horizon(spark, path), horizon(rows)), (table_status(spark, path), status(rows)),
+        ):
+            assert kept.columns == whole.columns and kept.collect() == whole.collect()
+
+    same()
+    compact_in_place(spark, path)
+    same()
+    assert len(read_counters(spark, path).inputFiles()) == 1
+    append_batch(read_log_table(spark, path).limit(4).drop("seq").withColumn("n", F.monotonically_increasing_id()), path, "y", 0, order_by=("n",))
+    same()
+    evict(spark, path, 7)  # cuts through the merged folder, whose rows are counted anew
+    same(expect_rows=True)
+    evict(spark, path, 4)
+    same()
+    vacuum(spark, path, 0)
+    same()
+    assert len(list((tmp_path / "log" / "_summaries").rglob("part-*.parquet"))) == 1
+
+
+def test_counters_of_an_older_version_and_of_folders_without_a_summary(spark, tmp_path):
+    path = str(tmp_path / "log")
+    _several_sources(spark, path, 3)
+    files = TableFiles(spark, path)
+    publish(files, lambda v: replace(v, folders=tuple(replace(f, summary=False) for f in v.folders[:1]) + v.folders[1:]))
+    want = {("a", 6, 3, 0), (None, 3, 0, 3), ("dead", 1, 0, 0)}
+    got = read_counters(spark, path)
+    assert {(r["name"], r["total"], r["errors"], r["warns"]) for r in got.collect()} == want
+    assert {f.rsplit("/", 2)[1] for f in _rows_read(got)} == {"batch=0"}
+    assert read_counters(spark, path, version=1).agg(F.sum("total")).first()[0] == 4
+
+
+def test_reading_after_a_cursor_skips_older_folders(spark, tmp_path):
+    path = str(tmp_path / "log")
+    _ten_batches(spark, path)
+    newer = read_log_table(spark, path, after=25)
+    assert _numbers(newer) == [26, 27, 28, 29, 30] and {f.split("batch=")[1].split("/")[0] for f in newer.inputFiles()} == {"8", "9"}
+    assert _numbers(read_log_table(spark, path, after=30)) == [] and _numbers(read_log_table(spark, path, after=0)) == list(range(1, 31))

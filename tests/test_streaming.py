@@ -3,16 +3,18 @@ from __future__ import annotations
 import json
 import threading
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from logevidence.operators import error_groups, filter_logs, source_stats, trailing_context
 from logevidence.schema import LOG_SCHEMA
+from logevidence.session import stage
 from logevidence.sources import append_batch, read_log_table
 from logevidence.streaming import (
-    follow_to, follow_traces, hydrate_and_follow, open_traces, read_after, read_traces, running_error_groups,
-    running_source_stats, unique_by_seq, wait_for_logs,
+    follow_to, follow_traces, hydrate_and_follow, open_traces, read_after, read_traces, read_unique,
+    running_error_groups, running_source_stats, unique_by_seq, wait_for_logs,
 )
 from tests.conftest import FLOOD
 from tests.test_operators import random_log
@@ -90,6 +92,55 @@ def test_traces_equal_the_batch_context(spark, make_logs, tmp_path, sizes):
     assert got | still_open == want
 
 
+@pytest.mark.parametrize("sizes", [[400], [1, 3, 50, 46, 300], [40] * 10])
+def test_traces_with_a_timeout(spark, make_logs, tmp_path, sizes):
+    """An event of a silent source closes; a line after the gap belongs to nobody, in whatever batch it comes."""
+    from logevidence.streaming.traces import trace_batch
+
+    logs, _ = random_log(make_logs, seed=22)
+    times = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 10 + F.floor(F.col("seq") / 37) * 300)
+    logs = stage(logs.withColumn("timestamp", times))
+    anchors, path, start = F.col("level") == "error", str(tmp_path / "traces"), 0
+    for i, size in enumerate(sizes):
+        batch = logs.where((F.col("seq") > start) & (F.col("seq") <= start + size))
+        for _ in range(2 if i == 1 else 1):
+            trace_batch(batch, path, i, anchors, 3, chunk_rows=16, timeout="120 SECONDS")
+        start += size
+    got = {r["seq"]: list(r["context"]) for r in read_traces(spark, path).collect()}
+    still_open = {r["seq"]: list(r["context"]) for r in open_traces(spark, path, len(sizes) - 1, anchors, 3, "120 SECONDS").collect()}
+    rows, want, until = logs.orderBy("seq").collect(), {}, {}
+    for i, row in enumerate(rows):
+        if row["level"] == "error":
+            lines, last = [], row["timestamp"]
+            for x in (x for x in rows[i + 1 :] if x["source"] == row["source"]):
+                if x["level"] != "unknown" or not x["payload"].strip() or (x["timestamp"] - last).total_seconds() > 120 or len(lines) == 3:
+                    break
+                lines.append(x["payload"])
+                last = x["timestamp"]
+            want[row["seq"]], until[row["seq"]] = lines, last
+    assert not got.keys() & still_open.keys() and got | still_open == want
+    assert all((rows[-1]["timestamp"] - until[seq]).total_seconds() <= 120 for seq in still_open)
+
+
+def test_follow_unique_lets_no_repeat_pass(spark, make_logs, tmp_path):
+    from logevidence.streaming.unique import _seen, unique_batch
+
+    logs = stage(random_log(make_logs, seed=23)[0])
+    path = str(tmp_path / "unique")
+    parts = ["seq % 2 = 0", "seq <= 100", "seq > 250 OR seq % 9 = 0", "seq > 0", "seq % 2 = 0"]
+    for i, part in enumerate(parts):
+        for _ in range(2 if i == 2 else 1):  # a replay changes nothing
+            unique_batch(logs.where(part).unionByName(logs.where(part).limit(5)), path, i, chunk_rows=64)
+    assert sorted(r["seq"] for r in read_unique(spark, path).collect()) == [r["seq"] for r in logs.orderBy("seq").collect()]
+    ranges = _seen(spark, path, len(parts))
+    assert ranges.count() == ranges.select("chunk").distinct().count()  # dense numbers are one range per chunk
+    unnumbered = logs.limit(2).withColumn("seq", F.lit(None).cast("bigint"))
+    unique_batch(unnumbered, path, len(parts), chunk_rows=64)
+    assert read_unique(spark, path).where("seq IS NULL").count() == 2
+    unique_batch(logs.limit(0), path, len(parts) + 1, chunk_rows=64)
+    assert _seen(spark, path, len(parts) + 2).count() == ranges.count()
+
+
 def test_follow_traces_on_the_table(spark, table, tmp_path):
     path, append = table
     append(("api", "info", "next"), ("web", "error", "ERROR open"), ("web", "unknown", "    at x"))
@@ -165,7 +216,7 @@ def test_wait_sees_a_new_line_and_answers_with_the_burst(spark, table, streamed)
     )
     stream = read_log_table(spark, path, stream=True) if streamed else None
     answer = wait_for_logs(
-        lambda: read_log_table(spark, path), stream, grep="bundle", require_new=True, timeout_ms=60_000, settle_ms=50
+        partial(read_log_table, spark, path), stream, grep="bundle", require_new=True, timeout_ms=60_000, settle_ms=50
     )
     thread.join()
     env = answer.envelope.first()
