@@ -92,8 +92,8 @@ def test_search_keeps_the_newest_and_says_so(flood):
 
 def test_search_after_cursor(flood, make_logs):
     cursor = envelope(search_logs(flood))["next_cursor"]
-    grown = flood.unionByName(make_logs([("api", "error", "ERROR something new")], start=cursor + 1))
-    assert [r["payload"] for r in search_logs(grown, cursor=cursor).rows.collect()] == ["ERROR something new"]
+    grown = flood.unionByName(make_logs([("api", "error", "ERROR valve 9 stuck")], start=cursor + 1))
+    assert [r["payload"] for r in search_logs(grown, cursor=cursor).rows.collect()] == ["ERROR valve 9 stuck"]
 
 
 def test_search_reports_a_gap(make_logs):
