@@ -78,6 +78,11 @@ def _bracket(pattern: str, at: int) -> tuple[str, int]:
     raise ValueError("a bracketed class is not closed")
 
 
+def class_end(pattern: str, at: int) -> int:
+    """The place after the bracketed class that opens at ``at``."""
+    return _bracket(pattern, at)[1]
+
+
 def _complement(members: str) -> str:
     """The class of all characters that are none of ``members`` (which may be one class in brackets)."""
     inner = members[1:-1] if members.startswith("[") and members.find("]") == len(members) - 1 else members

@@ -44,9 +44,14 @@ def record_envelope(logs: DataFrame, matching: DataFrame, limit: int, cursor: in
     Counting and horizon are two scans on purpose: the count gets the filter pushed down,
     the horizon touches two narrow columns.
     """
+    return record_envelope_of(horizon(logs), matching, limit, cursor)
+
+
+def record_envelope_of(seen: DataFrame, matching: DataFrame, limit: int, cursor: int | None) -> DataFrame:
+    """`record_envelope` from the log's `horizon`."""
     total = matching.agg(F.count(F.lit(1))).scalar()
     return (
-        horizon(logs)
+        seen
         .withColumn("total_matching", total)
         .select(
             "total_matching",

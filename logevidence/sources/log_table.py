@@ -2,7 +2,8 @@
 
 Layout: ``<path>/stream=<id>/batch=<n>/*.parquet`` holds batches as they came, each in a folder that is written once;
 ``<path>/_merged/<id>/*.parquet`` what a compaction made of several; ``<path>/_versions/<n>.json`` which of them are live (see
-`manifest`); ``<path>/_summaries`` counters of each of them (see `summaries`). A batch is part of the table once a version names it, so a batch that is repeated after a failure is seen once.
+`manifest`); ``<path>/_summaries`` counters of each of them (see `summaries`); ``<path>/_grams`` what their files can be searched
+for (see `grams`). A batch is part of the table once a version names it, so a batch that is repeated after a failure is seen once.
 Seq rises with the batches, so file and row-group statistics on ``seq`` and ``timestamp`` let readers skip what lies outside a
 cursor or a time range. One writer appends at a time; compaction, eviction and readers may run beside it.
 """
@@ -18,9 +19,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.filters import check_pattern, payload_matches
 from ..operators.order import assign_seq, retain_newest
 from ..schema import CHUNK_ROWS, LOG_SCHEMA
 from ..session import unstage
+from .grams import files_that_may_match, grams_of
 from .lines import FILE_POSITION, LINE_ID
 from .manifest import TableFiles, Version, at_version, latest, publish
 from .summaries import summary_of, write_summary
@@ -32,21 +35,30 @@ _COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
 
 def read_log_table(
-    spark: SparkSession, path: str, stream: bool = False, version: int | None = None, after: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, version: int | None = None, after: int | None = None,
+    grep: str | None = None,
 ) -> DataFrame:
     """The retained log as of its newest version, or of an older one that `vacuum` has not removed.
 
-    ``after`` leaves out rows up to that seq, and does not even look into folders that hold no newer ones.
+    ``after`` leaves out rows up to that seq, and does not even look into folders that hold no newer ones. ``grep`` leaves out
+    rows whose payload the pattern is not found in, and does not open files that `index_grams` knows to hold no match.
 
     ``stream=True`` follows the table: every appended batch arrives once, whatever compaction and eviction
     do meanwhile; a follower must read a batch before `vacuum` removes it.
     """
+    matches = None if grep is None else payload_matches(check_pattern(grep))
     if stream:
-        return spark.readStream.schema(_TABLE_SCHEMA).parquet(path).select(*_COLUMNS)
+        rows = spark.readStream.schema(_TABLE_SCHEMA).parquet(path).select(*_COLUMNS)
+        return rows if matches is None else rows.where(matches)
     files = TableFiles(spark, path)
     now = latest(files) if version is None else at_version(files, version)
+    now = now if after is None else _after(now, after)
+    if now.number and matches is not None:
+        return _rows(files, now, files_that_may_match(files, now.folders, grep)).where(matches)
     if now.number:
-        return _rows(files, now if after is None else _after(now, after))
+        return _rows(files, now)
+    if matches is not None:
+        return read_log_table(spark, path, after=after).where(matches)
     try:
         rows = spark.read.schema(_TABLE_SCHEMA).parquet(path).select(*_COLUMNS)  # written without versions
         return rows if after is None else rows.where(F.col("seq") > after)
@@ -62,8 +74,10 @@ def _after(version: Version, seq: int) -> Version:
     return replace(version, floor=floor, folders=tuple(f for f in version.folders if f.last > floor))
 
 
-def _rows(files: TableFiles, version: Version) -> DataFrame:
-    spark, paths = files.spark, [f"{files.path}/{f.name}" for f in version.folders]
+def _rows(files: TableFiles, version: Version, names: list[str] | None = None) -> DataFrame:
+    """The rows of a version, or of those of its folders and files that are named."""
+    spark = files.spark
+    paths = [f"{files.path}/{name}" for name in ([f.name for f in version.folders] if names is None else names)]
     if not paths:
         return spark.createDataFrame([], LOG_SCHEMA)
     rows = spark.read.schema(LOG_SCHEMA).parquet(*paths)
@@ -205,6 +219,7 @@ def vacuum(spark: SparkSession, path: str, grace_seconds: float) -> list[str]:
 def _delete(files: TableFiles, name: str) -> None:
     files.delete(name)
     files.delete(summary_of(name))
+    files.delete(grams_of(name))
 
 
 def _write_ordered(logs: DataFrame, target: str, rows_per_file: int) -> None:

@@ -465,6 +465,15 @@ ORACLE["kept_totals"] = (
     " t AS (SELECT min(seq) AS position, source, count(*) AS total FROM logs GROUP BY source"
     " UNION ALL SELECT 0 AS position, 'all' AS source, count(*) AS total FROM logs) SELECT * FROM t, h"
 )
+_KEPT = "seq > (SELECT max(seq) FROM logs) - 4 * (SELECT max(seq) // 5 FROM logs)"
+ORACLE["searched_table"] = on_logs(answer(newest(
+    f"regexp_matches(payload, '(?i)BUCKET:773[3-6]\\b|cache miss at 10\\.0\\.0\\.1') AND {_KEPT}", 1000
+)))
+_SLOW = f"regexp_matches(payload, 'slow query took 7|spent: bucket') AND {AT_LEAST_WARN} AND seq > 300 AND {_KEPT}"
+ORACLE["searched_table_envelope"] = on_logs(
+    f"SELECT count(*) FILTER ({_SLOW}) AS total_matching, count(*) FILTER ({_SLOW}) > 50 AS truncated, max(seq) AS next_cursor,"
+    f" min(seq) FILTER ({_KEPT}) AS buffer_start_cursor, min(seq) FILTER ({_KEPT}) - 1 > 300 AS cursor_gap FROM logs"
+)
 ORACLE["compacted_log"] = on_logs(
     f"SELECT {RECORD}, (SELECT count(*) FROM logs) AS seen, (SELECT count(*) FROM logs) AS seen_once FROM logs ORDER BY seq DESC LIMIT 2500"
 )

@@ -12,14 +12,14 @@ from logevidence.operators import (
     retain_newest, settled_burst, source_stats, source_totals, source_views, status, tail_per_source, trailing_context, with_position,
 )
 from logevidence.plans import (
-    recent_errors, records, search_logs, table_horizon, table_source_stats, table_source_totals, table_sources,
+    recent_errors, records, search_logs, search_table, table_horizon, table_source_stats, table_source_totals, table_sources,
 )
 from logevidence.plans.queries import elided_records, json_records
 from logevidence.plans.render import group_lines, record_lines, source_lines
 from logevidence.schema import LOG_SCHEMA
 from logevidence.session import staging_path
 from logevidence.sources import (
-    append_batch, append_logs, compact_in_place, evict, from_lines, read_lines, read_log_table, read_process_output, read_records,
+    append_batch, append_logs, compact_in_place, evict, from_lines, index_grams, read_lines, read_log_table, read_process_output, read_records,
     sources_from_config, vacuum,
 )
 from logevidence.streaming import (
@@ -539,6 +539,28 @@ def kept_totals(spark, sf):
     return table_source_totals(spark, path).crossJoin(F.broadcast(seen))
 
 
+def _indexed_table(spark, sf) -> str:
+    """A log table of merged, evicted and indexed folders with a last one that is not indexed yet."""
+    rows = logs(spark, sf)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    path = _table_in_parts(spark, rows.where(F.col("seq") <= last - last // 5), 3)
+    compact_in_place(spark, path, rows_per_file=200)
+    index_grams(spark, path)
+    append_batch(rows.where(F.col("seq") > last - last // 5), path, "late", 0, order_by=("seq",))
+    evict(spark, path, 4 * (last // 5))
+    return path
+
+
+def searched_table(spark, sf):
+    """Newest matches in a log table, by the files that may hold them."""
+    found = search_table(spark, _indexed_table(spark, sf), grep=r"(?i)BUCKET:773[3-6]\b|cache miss at 10\.0\.0\.1", limit=1000)
+    return found.rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def searched_table_envelope(spark, sf):
+    return search_table(spark, _indexed_table(spark, sf), grep="slow query took 7|spent: bucket", level="warn", cursor=300, limit=50).envelope
+
+
 def compacted_log(spark, sf):
     """A table of five batches after eviction and compaction; a follower that began before still sees every row once."""
     path, out, rows = staging_path(spark, "log"), staging_path(spark, "seen"), logs(spark, sf)

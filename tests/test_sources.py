@@ -2,17 +2,18 @@ from __future__ import annotations
 
 import os
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from logevidence.functions import detect_level
 from logevidence.operators import horizon, log_filter, source_stats, source_totals, status
-from logevidence.plans import recent_errors, table_horizon, table_source_stats, table_source_totals, table_status
+from logevidence.operators.filters import check_pattern, payload_matches
+from logevidence.plans import recent_errors, search_logs, search_table, table_horizon, table_source_stats, table_source_totals, table_status
 from logevidence.session import staging_root
 from logevidence.sources import (
-    append_batch, append_logs, compact, compact_in_place, evict, from_lines, parse_config, read_containers, read_lines, read_log_table, vacuum,
+    append_batch, append_logs, compact, compact_in_place, evict, from_lines, index_grams, parse_config, read_containers, read_lines, read_log_table, vacuum,
     read_counters, read_process_output, read_records, sources_from_config, write_records,
 )
 from logevidence.sources.manifest import TableFiles, publish
@@ -357,3 +358,55 @@ def test_reading_after_a_cursor_skips_older_folders(spark, tmp_path):
     newer = read_log_table(spark, path, after=25)
     assert _numbers(newer) == [26, 27, 28, 29, 30] and {f.split("batch=")[1].split("/")[0] for f in newer.inputFiles()} == {"8", "9"}
     assert _numbers(read_log_table(spark, path, after=30)) == [] and _numbers(read_log_table(spark, path, after=0)) == list(range(1, 31))
+
+
+def _indexed(spark, path, words):
+    """Files of 50 lines each, one of which holds a word of its own."""
+    lines = [(50 * i + j, datetime(2024, 1, 15) + timedelta(seconds=50 * i + j), "api", "info", word if j == 20 else f"plain line {j}")
+             for i, word in enumerate(words) for j in range(50)]
+    batch = spark.createDataFrame(lines, "n int, timestamp timestamp, source string, level string, payload string")
+    for i in range(len(words)):
+        append_batch(batch.where(f"n div 50 = {i}").coalesce(1), path, "b", i, order_by=("n",))
+
+
+def _opened(df):
+    return len({f.rpartition("/")[2] for f in df.inputFiles()})
+
+
+def test_a_search_opens_only_files_that_may_match(spark, tmp_path):
+    path = str(tmp_path / "log")
+    words = ["disk quota spent", "tls handshake refused", "TİTLE of Key", "café closed", "a.b(c)", "Straße zu"]
+    _indexed(spark, path, words)
+    patterns = {
+        "quota sp": 1, "(?i)HANDSHAKE": 1, "(?iu)title": 1, "(?i)of key": 1, "café clo": 1, r"a\.b\(c\)": 1, "(?i)stra": 1,
+        "nowhere": 0, "quota|refused": 2, "quota|x": 6, "quotas? spent": 1, "quot(a|b) spent": 1, "plain line 7$": 6, r"\bspent\b": 1,
+        "[q]uota.*spent": 1, "": 6, "(?x) q u o t a": 6, r"\x71uota": 6, "refusedd*": 1, "han{1,2}dshake": 1, "line (?:[0-9)]+) ?": 6,
+    }
+    assert index_grams(spark, path) == [f"stream=b/batch={i}" for i in range(len(words))] and index_grams(spark, path) == []
+    for pattern, files in patterns.items():
+        found = read_log_table(spark, path, grep=pattern)
+        assert _opened(found) == files, pattern
+        plain = read_log_table(spark, path).where(payload_matches(check_pattern(pattern)))
+        assert _numbers(found) == _numbers(plain), pattern
+    with pytest.raises(ValueError, match="invalid `grep`"):
+        read_log_table(spark, path, grep="(")
+
+
+def test_indexes_go_with_their_folders(spark, tmp_path):
+    path = str(tmp_path / "log")
+    _indexed(spark, path, ["first word", "second word", "third word"])
+    index_grams(spark, path)
+    compact_in_place(spark, path)
+    assert read_log_table(spark, path, grep="second").count() == 1  # the merged folder is not indexed yet
+    (merged,) = index_grams(spark, path)
+    assert merged.startswith("_merged/") and read_log_table(spark, path, grep="no such").inputFiles() == []
+    vacuum(spark, path, 0)
+    assert not list((tmp_path / "log" / "_grams").glob("stream=*/batch=*")) and (tmp_path / "log" / "_grams" / merged).exists()
+    evict(spark, path, 60)
+    assert read_log_table(spark, path, grep="first").count() == 0 and read_log_table(spark, path, grep="third").count() == 1
+    assert read_log_table(spark, path, grep="line", after=145).count() == 5
+    assert read_log_table(spark, str(tmp_path / "none"), grep="x").count() == 0
+    answer = search_table(spark, path, grep="(?i)WORD", limit=1)
+    assert [r.payload for r in answer.rows.collect()] == ["third word"]
+    same = search_logs(read_log_table(spark, path), grep="(?i)WORD", limit=1).envelope
+    assert answer.envelope.collect() == same.collect()
