@@ -1,12 +1,16 @@
-"""Nearest neighbours by cosine with one vantage-point tree per shard.
-
-Rows are dealt to shards of about ``SHARD_ROWS`` rows by a hash of their id, so no vector, however often it occurs, makes a
-shard large; equal vectors of a shard are kept once, with as many of their smallest ids as an answer can need. Queries are
-dealt to blocks, and each (shard, block) pair is one job that builds the shard's tree over the unit vectors and walks it with
-the whole block. A subtree is skipped where ``factor * bound > radius``: bound is the least distance that the triangle
-inequality allows, radius the distance of the k-th nearest found. Factor one is exact; above one it skips more. A second walk
-takes everything as far as the last one found, so that ties of any number go by exact score and id. Only the k best of each
-shard leave a job.
+"""Nearest neighbours by cosine: rows dealt to balls, a vantage-point tree per shard of a ball, balls pruned for each query.
+
+A bounded sample of rows gives pivots; every row belongs to the ball of its nearest pivot. Balls of over ``SHARD_ROWS`` rows are
+cut into shards by a hash of the id, so that neither a hot ball nor a vector that occurs often makes a shard large; equal vectors
+of a shard are kept once, with as many of their smallest ids as an answer can need. A query first searches one shard of its own
+ball. The distance of its k-th nearest there tells which other balls the triangle inequality can't rule out, and it is sent to
+the shards of these alone. So rows travel three times whatever the number of queries (once to make ids single, once for
+either search; a shard with many visitors is repeated per ``BLOCK_ROWS`` of them), and queries once per shard that may help them.
+
+Within a shard the tree over the unit vectors is walked with the whole block of queries. A subtree, as a ball, is skipped where
+``factor * bound > radius``: bound is the least distance that the triangle inequality allows, radius the distance of the k-th
+nearest found. Factor one is exact; above one it skips more. A second walk takes everything as far as the last one found, so
+that ties of any number go by exact score and id. Only the k best of each shard leave a job.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import Scratch, map_arrow, ship, table
 
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 4096
 LEAF = 128
+#: The most pivots; all tasks hold them and the figures of their balls.
+PIVOTS = 4096
 #: What a distance of unit vectors, taken from one large product, may be off by.
 SLACK = 2e-7
 SCHEMA = "query_id long, vec_id long, score double"
@@ -54,9 +60,13 @@ class VantageTree:
             pending += [(start + 1 + half, end, me, 1), (start + 1, start + 1 + half, me, 0)]
         self.unit = unit[self.order]
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
-        """For each query the places (in the given rows, -1 where there are fewer) of its k nearest, by distance."""
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, most: np.ndarray | float = np.inf) -> np.ndarray:
+        """For each query the places (in the given rows, -1 where there are fewer) of its k nearest, by distance.
+
+        What is farther than ``most`` may be left out.
+        """
         n = len(queries)
+        most = np.broadcast_to(np.asarray(most, dtype=float) + SLACK, n)
         best = np.full((n, k), np.inf)
         found = np.full((n, k), -1)
 
@@ -71,7 +81,7 @@ class VantageTree:
         pending = [(0, np.arange(n), np.zeros(n))]
         while pending:
             node, active, bound = pending.pop()
-            keep = factor * (bound - SLACK) <= best[active].max(axis=1)
+            keep = factor * (bound - SLACK) <= np.minimum(best[active].max(axis=1), most[active])
             active, bound = active[keep], bound[keep]
             if not len(active):
                 continue
@@ -139,7 +149,9 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def search_shard(data: pa.Table, asked: pa.Table, k: int, factor: float) -> pa.Table:
-    """The k nearest of each query within one shard."""
+    """The k nearest of each query within one shard; those farther than its ``radius`` may be left out."""
+    limit_ids, first = np.unique(asked.column("vec_id").to_numpy(), return_index=True)
+    limit = asked.column("radius").to_numpy()[first]
     known = {dim: (ids, scaled(v)) for dim, ids, v in _by_size(data)} if data.num_rows else {}
     out: list[list[np.ndarray]] = [[], [], []]
     for dim, query_ids, q in _by_size(asked) if asked.num_rows else ():
@@ -158,10 +170,12 @@ def search_shard(data: pa.Table, asked: pa.Table, k: int, factor: float) -> pa.T
         q_norm = np.sqrt((q * q).sum(axis=1))
         unit, q_unit = same / norm[:, None], q / q_norm[:, None]
         tree = VantageTree(unit)
-        units = tree.search(q_unit, min(k + 1, len(same)), factor)
+        most = limit[np.searchsorted(limit_ids, query_ids)]
+        units = tree.search(q_unit, min(k + 1, len(same)), factor, most)
         # the units as far as the last of these and no farther: ties among them are for the ids to settle, however many they are
         apart = np.where(units >= 0, 2 - 2 * np.einsum("qd,qkd->qk", q_unit, unit[units]), 0)
-        radius = np.sqrt(np.maximum(apart.max(axis=1, initial=0), 0))
+        radius = np.where((units >= 0).all(axis=1), np.sqrt(np.maximum(apart.max(axis=1, initial=0), 0)), np.inf)
+        radius = np.minimum(radius, most)
         if units.shape[1] < len(same):
             who, found = tree.within(q_unit, radius, factor)
         else:
@@ -188,29 +202,170 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
 
+class Balls:
+    """Pivots as unit vectors by dimension, numbered through, and what is known of their balls.
+
+    Ball -1 holds the rows of dimensions without a pivot; it is never ruled out. ``shards`` and ``blocks`` tell into how many parts
+    the rows and the visitors of a ball are cut.
+    """
+
+    def __init__(self, pivots: list[list[float]]):
+        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        number = 0
+        for dim in sorted({len(p) for p in pivots}):
+            v = np.unique(_unit(np.array([p for p in pivots if len(p) == dim], dtype=np.float64)), axis=0)
+            self.by_dim[dim] = (v, np.arange(number, number + len(v)))
+            number += len(v)
+        self.count = number
+        self.near, self.far = np.full(number + 1, np.inf), np.full(number + 1, -np.inf)  # the last one is ball -1
+        self.shards, self.blocks = np.zeros(number + 1, np.int64), np.ones(number + 1, np.int64)
+
+    def distances(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of rows of one dimension from its pivots, and the balls' numbers."""
+        pivots, numbers = self.by_dim[v.shape[1]]
+        return np.sqrt(np.maximum(2 - 2 * (_unit(v) @ pivots.T), 0)), numbers
+
+    def visits(self, v: np.ndarray, radius: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Balls that may hold something within the radius of rows of one dimension, with these rows."""
+        if v.shape[1] in self.by_dim:
+            d, numbers = self.distances(v)
+            own = d.min(axis=1, keepdims=True)
+            # inside of the ball's rim, outside of its core, or beyond the border that it shares with the own ball
+            bound = np.maximum(np.maximum(d - self.far[numbers], self.near[numbers] - d), (d - own) / 2)
+            may = (factor * (bound - 3 * SLACK) <= radius[:, None] + SLACK) & (self.shards[numbers] > 0)
+            for j in np.flatnonzero(may.any(axis=0)):
+                yield int(numbers[j]), np.flatnonzero(may[:, j])
+        elif self.shards[-1]:
+            yield -1, np.arange(len(v))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def _spread(ids: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each id, by a multiplicative hash."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _matrices(batch: pa.RecordBatch, *more: str) -> Iterator[tuple]:
+    """For each dimension in a batch: ids, list column and matrix of its rows, and further columns."""
+    lists = batch.column("embedding")
+    flat, off = _vectors(lists)
+    size = np.diff(off)
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        take = pa.array(rows)
+        yield batch.column("vec_id").take(take), lists.take(take), flat[off[rows][:, None] + np.arange(dim)], *(batch.column(m).take(take) for m in more)
+
+
+def in_balls(vectors: DataFrame, balls: Balls) -> DataFrame:
+    """``vec_id, embedding, ball, distance``: each row with its nearest pivot."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, lists, v in _matrices(batch):
+                ball, distance = np.full(len(v), -1), np.zeros(len(v))
+                if v.shape[1] in balls.by_dim:
+                    d, numbers = balls.distances(v)
+                    at = d.argmin(axis=1)
+                    ball, distance = numbers[at], d[np.arange(len(v)), at]
+                yield pa.record_batch([ids, lists, pa.array(ball, pa.int32()), pa.array(distance)], ["vec_id", "embedding", "ball", "distance"])
+
+    return map_arrow(vectors, run, "vec_id long, embedding array<double>, ball int, distance double")
+
+
+def visitors(asked: DataFrame, balls: Balls, factor: float) -> DataFrame:
+    """``vec_id, embedding, radius, ball, shard, block``: each query once per shard, its first one left out, that may hold nearer rows.
+
+    ``asked`` has ``vec_id, embedding, radius, ball, shard``: what was found in the first shard.
+    """
+
+    def run(batches):
+        names = ["vec_id", "embedding", "radius", "ball", "shard", "block"]
+        for batch in batches:
+            for ids, lists, v, radius, ball, shard in _matrices(batch, "radius", "ball", "shard"):
+                first = list(zip(ball.to_pylist(), shard.to_pylist(), strict=True))
+                for target, rows in balls.visits(v, radius.to_numpy(), factor):
+                    block = _spread(ids.to_numpy()[rows], balls.blocks[target])
+                    for part in range(balls.shards[target]):
+                        some = np.array([first[r] != (target, part) for r in rows])
+                        take = pa.array(rows[some])
+                        if len(take):
+                            same = [pa.array(np.full(len(take), x), pa.int32()) for x in (target, part)]
+                            yield pa.record_batch([ids.take(take), lists.take(take), radius.take(take), *same, pa.array(block[some], pa.int32())], names)
+
+    return map_arrow(asked, run, "vec_id long, embedding array<double>, radius double, ball int, shard int, block int")
+
+
+def visitor_counts(asked: DataFrame, balls: Balls, factor: float) -> DataFrame:
+    """``ball, n``: how many queries may find something in a ball."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, v, radius in _matrices(batch, "radius"):
+                found = [(ball, len(rows)) for ball, rows in balls.visits(v, radius.to_numpy(), factor)]
+                yield pa.record_batch([pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)], ["ball", "n"])
+
+    return map_arrow(asked, run, "ball int, n int").groupBy("ball").agg(F.sum("n").alias("n"))
+
+
+def _single(vectors: DataFrame) -> DataFrame:
+    """One row per id and length of vector: the smallest vector."""
+    return usable(vectors).groupBy("vec_id", F.size("embedding").alias("dim")).agg(F.min("embedding").alias("embedding")).drop("dim")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its k nearest rows by cosine, ties to the smaller ``vec_id``.
 
     Both tables have ``vec_id, embedding``; other columns are ignored. Rows with a null id, or a vector that is null, empty,
     zero or has a null or non-finite component take no part; vectors are compared with those of the same length. A row never
     answers for its own id; rows that repeat an id count once (the smallest vector). Fewer candidates than k give fewer rows,
-    an empty table none. Runs two counts, which set the number of shards and blocks.
+    an empty table none. Runs the first search and some counts, whose results are written in the shared folder; the driver gets
+    at most ``PIVOTS`` vectors and as many counts.
     """
     spark = vectors.sparkSession
     ship(spark)
-    data, asked = usable(vectors), usable(queries)
-    shards = max(1, -(-data.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
-    spread = F.xxhash64("vec_id")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = data.select("vec_id", "embedding", F.pmod(spread, F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
-    asked = asked.select("vec_id", "embedding", F.pmod(spread, F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
-    local = (
-        data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(lambda left, right: search_shard(left, right, k, factor), SCHEMA)
-    )
+    scratch = Scratch(spark)
+    data, asked = scratch.write(_single(vectors)), _single(queries)
+    wanted = min(PIVOTS, max(1, -(-data.count() // shard_rows)))
+    pivots = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted)
+    balls = Balls([list(r["embedding"]) for r in pivots.collect()])
+    data, asked = scratch.write(in_balls(data, balls)), scratch.write(in_balls(asked, balls))
+    counts = data.groupBy("ball").agg(F.count(F.lit(1)).alias("rows"), F.min("distance").alias("near"), F.max("distance").alias("far"))
+    asked_counts = {r["ball"]: r["n"] for r in asked.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for r in counts.collect():
+        b = r["ball"]
+        balls.near[b], balls.far[b] = r["near"], r["far"]
+        balls.shards[b] = max(-(-r["rows"] // shard_rows), -(-asked_counts.get(b, 0) // block_rows))
+
+    def figures() -> DataFrame:
+        rows = [(b, int(balls.shards[b]), int(balls.blocks[b])) for b in range(-1, balls.count) if balls.shards[b]]
+        return F.broadcast(spark.createDataFrame(rows, "ball int, shards int, blocks int"))
+
+    def in_shards(df: DataFrame) -> DataFrame:
+        return df.join(figures(), "ball").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+
+    def search(rows: DataFrame, by: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).cogroup(by.groupBy(*keys)).applyInArrow(lambda left, right: search_shard(left, right, k, factor), SCHEMA)
+
+    data = in_shards(data).select("vec_id", "embedding", "ball", "shard")
+    unlimited = F.lit(float("inf")).alias("radius")
+    home = in_shards(asked).select("vec_id", "embedding", "ball", "shard", unlimited)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = scratch.write(best(search(data, home, "ball", "shard")))
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("kth"))
+    # a query whose own ball holds no row has no first shard: it visits all balls that exist
+    none = [F.col("vec_id"), F.col("embedding"), F.col("ball"), F.lit(-1).alias("shard")]
+    every = home.drop("radius").unionByName(asked.join(figures(), "ball", "left_anti").select(*none))
+    every = scratch.write(every.join(kth, "vec_id", "left").select("vec_id", "embedding", "ball", "shard", F.coalesce("kth", unlimited).alias("radius")))
+    for r in visitor_counts(every, balls, factor).collect():
+        balls.blocks[r["ball"]] = max(1, -(-r["n"] // block_rows))
+    repeated = data.join(figures(), "ball").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    later = search(repeated.select("vec_id", "embedding", "ball", "shard", "block"), visitors(every, balls, factor), "ball", "shard", "block")
+    return best(first.drop("rank").unionByName(later)).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -15,7 +16,7 @@ import brute  # noqa: E402
 import public_tokenizers  # noqa: E402
 
 from logevidence.llm.langid import identify_languages, op8_language_id  # noqa: E402
-from logevidence.llm.neighbours import VantageTree, nearest  # noqa: E402
+from logevidence.llm.neighbours import Balls, VantageTree, in_balls, nearest, visitors  # noqa: E402
 from logevidence.llm.packing import SquaresPacker, encoder, pack_documents  # noqa: E402
 from logevidence.llm.quality import op5_quality, score_quality  # noqa: E402
 from logevidence.llm.toxicity import op3_toxicity, score_toxicity, train  # noqa: E402
@@ -118,6 +119,25 @@ def test_neighbours_equal_brute_force(spark):
     assert nearest(df.limit(0), df.limit(0)).collect() == [] and nearest(df, df.limit(0)).collect() == []
 
 
+def test_queries_visit_only_balls_that_may_help(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 8))
+    x = np.repeat(centres, 60, axis=0) + 0.01 * r.normal(size=(720, 8))
+    x[240:480] = x[240]  # a third of all rows is one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0]), (902, [1.0])], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0 OR vec_id >= 900")
+    got = sorted((y["query_id"], y["rank"], y["vec_id"], round(y["score"], 12)) for y in nearest(df, queries, 5, shard_rows=30, block_rows=4).where("query_id < 900").collect())
+    assert got == cosine(list(enumerate(x)), [(i, x[i]) for i in range(0, 720, 20)], 5)
+    assert {(y["query_id"], y["vec_id"]) for y in nearest(df, queries, 5, shard_rows=30).where("query_id >= 900").collect()} == {(900, 901), (901, 900)}
+    balls = Balls([v.tolist() for v in centres])
+    dealt = in_balls(df.where("vec_id < 900"), balls)
+    for y in dealt.groupBy("ball").agg(F.min("distance").alias("near"), F.max("distance").alias("far")).collect():
+        balls.near[y["ball"]], balls.far[y["ball"]], balls.shards[y["ball"]] = y["near"], y["far"], 3
+    asked = dealt.where("vec_id % 20 = 0").selectExpr("vec_id", "embedding", "0.05D AS radius", "ball", "0 AS shard")
+    visits = visitors(asked, balls, 1.0)
+    assert visits.count() == 2 * 36  # the two other shards of the own ball, none of the eleven other balls
+
+
 def test_ties_of_any_number_and_vectors_of_any_size(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=8)
