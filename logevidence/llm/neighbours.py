@@ -35,11 +35,11 @@ SCHEMA = "query_id long, vec_id long, score double"
 
 
 class VantageTree:
-    """Nodes in arrays. Unit vectors are reordered so that every node owns a stretch of rows; its first row is the vantage point."""
+    """Nodes in arrays. Unit vectors are reordered so that every node owns a stretch of rows, its vantage point among them."""
 
     def __init__(self, unit: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(unit))
-        self.nodes: list[tuple] = []  # start, end, inner, outer, (lo, hi) of the distances of both children
+        self.points, self.order = unit, np.arange(len(unit))
+        self.nodes: list[tuple] = []  # start, end, inner, outer, vantage point, (lo, hi) of the distances of both children
         pending = [(0, len(unit), -1, 0)]
         while pending:
             start, end, parent, side = pending.pop()
@@ -47,56 +47,64 @@ class VantageTree:
             if parent >= 0:
                 self.nodes[parent][2 + side] = me
             if end - start <= leaf:
-                self.nodes.append([start, end, -1, -1, None])
+                self.nodes.append([start, end, -1, -1, -1, None])
                 continue
             mine = self.order[start:end]
-            pick = (me * 2654435761) % len(mine)
-            mine[0], mine[pick] = mine[pick], mine[0]
-            d = np.sqrt(np.maximum(2 - 2 * (unit[mine[1:]] @ unit[mine[0]]), 0))
+            vantage = mine[(me * 2654435761) % len(mine)]
+            d = np.sqrt(np.maximum(2 - 2 * (unit[mine] @ unit[vantage]), 0))
             half = len(d) // 2
             by = np.argpartition(d, half)
-            mine[1:], d = mine[1:][by], d[by]
-            self.nodes.append([start, end, -1, -1, (d[:half].min(), d[:half].max(), d[half:].min(), d[half:].max())])
-            pending += [(start + 1 + half, end, me, 1), (start + 1, start + 1 + half, me, 0)]
+            mine[:], d = mine[by], d[by]
+            self.nodes.append([start, end, -1, -1, vantage, (d[:half].min(), d[:half].max(), d[half:].min(), d[half:].max())])
+            pending += [(start + half, end, me, 1), (start, start + half, me, 0)]
         self.unit = unit[self.order]
 
+    def _from(self, queries: np.ndarray, vantage: int) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (queries @ self.points[vantage]), 0))
+
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0, most: np.ndarray | float = np.inf) -> np.ndarray:
         """For each query the places (in the given rows, -1 where there are fewer) of its k nearest, by distance.
 
-        What is farther than ``most`` may be left out.
+        What is farther than ``most`` may be left out. Each query first goes down to one leaf, which gives it a radius; then all
+        nodes are visited once, each with the queries that it can't be ruled out for.
         """
         n = len(queries)
         most = np.broadcast_to(np.asarray(most, dtype=float) + SLACK, n)
         best = np.full((n, k), np.inf)
         found = np.full((n, k), -1)
+        home = np.full(n, -1)
 
-        def take(active: np.ndarray, start: int, end: int) -> np.ndarray:
+        def take(active: np.ndarray, start: int, end: int) -> None:
             d = np.sqrt(np.maximum(2 - 2 * (queries[active] @ self.unit[start:end].T), 0))
             both = np.hstack([best[active], d])
             where = np.hstack([found[active], np.broadcast_to(np.arange(start, end), d.shape)])
-            at = np.argpartition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(k), (len(active), k))
+            at = np.argpartition(both, k - 1, axis=1)[:, :k]
             best[active], found[active] = np.take_along_axis(both, at, 1), np.take_along_axis(where, at, 1)
-            return d
 
+        down = [(0, np.arange(n))]
+        while down:
+            node, active = down.pop()
+            start, end, inner, outer, vantage, rim = self.nodes[node]
+            if inner < 0:
+                home[active] = node
+                take(active, start, end)
+                continue
+            near = self._from(queries[active], vantage) <= (rim[1] + rim[2]) / 2
+            down += [(child, some) for child, some in ((outer, active[~near]), (inner, active[near])) if len(some)]
         pending = [(0, np.arange(n), np.zeros(n))]
         while pending:
             node, active, bound = pending.pop()
             keep = factor * (bound - SLACK) <= np.minimum(best[active].max(axis=1), most[active])
             active, bound = active[keep], bound[keep]
-            if not len(active):
-                continue
-            start, end, inner, outer, rim = self.nodes[node]
+            start, end, inner, outer, vantage, rim = self.nodes[node]
             if inner < 0:
-                take(active, start, end)
-                continue
-            d = take(active, start, start + 1)[:, 0]
-            bounds = [np.maximum(bound, np.maximum(rim[i] - d, d - rim[i + 1])) for i in (0, 2)]
-            near_inner = bounds[0] <= bounds[1]
-            later, now = [], []
-            for child, b, first in ((inner, bounds[0], near_inner), (outer, bounds[1], ~near_inner)):
-                now.append((child, active[first], b[first]))
-                later.append((child, active[~first], b[~first]))
-            pending += [*later, *now]
+                active = active[home[active] != node]
+                if len(active):
+                    take(active, start, end)
+            elif len(active):
+                d = self._from(queries[active], vantage)
+                for child, lo, hi in ((outer, rim[2], rim[3]), (inner, rim[0], rim[1])):
+                    pending.append((child, active, np.maximum(bound, np.maximum(lo - d, d - hi))))
         return np.where(found >= 0, self.order[found], -1)
 
     def within(self, queries: np.ndarray, radius: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +117,16 @@ class VantageTree:
             active, bound = active[keep], bound[keep]
             if not len(active):
                 continue
-            start, end, inner, outer, rim = self.nodes[node]
-            stop = end if inner < 0 else start + 1
-            d = np.sqrt(np.maximum(2 - 2 * (queries[active] @ self.unit[start:stop].T), 0))
-            i, j = np.nonzero(d <= radius[active][:, None] + SLACK)
-            who.append(active[i])
-            where.append(start + j)
-            if inner >= 0:
-                for child, lo, hi in ((inner, rim[0], rim[1]), (outer, rim[2], rim[3])):
-                    pending.append((child, active, np.maximum(bound, np.maximum(lo - d[:, 0], d[:, 0] - hi))))
+            start, end, inner, outer, vantage, rim = self.nodes[node]
+            if inner < 0:
+                d = np.sqrt(np.maximum(2 - 2 * (queries[active] @ self.unit[start:end].T), 0))
+                i, j = np.nonzero(d <= radius[active][:, None] + SLACK)
+                who.append(active[i])
+                where.append(start + j)
+                continue
+            d = self._from(queries[active], vantage)
+            for child, lo, hi in ((inner, rim[0], rim[1]), (outer, rim[2], rim[3])):
+                pending.append((child, active, np.maximum(bound, np.maximum(lo - d, d - hi))))
         return np.concatenate(who), self.order[np.concatenate(where)]
 
 
