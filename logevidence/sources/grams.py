@@ -1,14 +1,16 @@
 """Which runs of four characters stand in a file of a log table, so that a search opens only files that may hold a match.
 
-``<path>/_grams/<folder>/*.parquet`` holds, per file of a folder, a Bloom filter with one hash function over the ASCII runs of
-``GRAM`` characters in its payloads, without regard to case: one row per ``BUCKET`` bits that has any bit set. A pattern is
-looked up by the literals that each of its matches must contain; files where a run of them is missing are left out, and the
-pattern still decides the rows of the others. `index_grams` builds what is missing; a folder without it is read whole.
+``<path>/_grams/<folder>/places/*.parquet`` holds, per file of a folder, a Bloom filter with one hash function over the ASCII runs
+of ``GRAM`` characters in its payloads, without regard to case: one row per bit that is set, so that it grows with the runs of a
+file and small files have small ones. A pattern is looked up by the literals that each of its matches must contain; files where a
+run of them is missing are left out, and the pattern still decides the rows of the others. `index_grams` builds what is missing; a
+folder without it is read whole.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession, Window, functions as F
 
@@ -17,11 +19,12 @@ from ..schema import LOG_SCHEMA
 from .manifest import Folder, TableFiles, latest
 
 GRAM = 4
-#: Bits per file, at most 128 KB of them: a file of a million log lines has some 100 000 distinct runs.
+#: Bits per file, numbered from 1: a file of a million log lines has some 100 000 distinct runs.
 BITS = 1 << 20
-#: Bits per stored row, fixed by Spark's bitmap functions.
-BUCKET = 1 << 15
-_SCHEMA = "folder string, file string, bucket bigint, bits binary"
+#: Files up to this number are named to the scan; where more of them may match, their folders are listed and the others dropped.
+MOST_NAMED = 100
+#: ``file`` is the hash of a file's name; the row of place 0, which every file with rows has, holds the name.
+_SCHEMA = "folder string, file bigint, place int, name string"
 #: Escapes that stand for a class or a place. Any other letter or digit may carry an argument.
 _PLAIN_ESCAPES = set("dDsSwWbBAzZGhHvVRXtnrfae")
 
@@ -36,32 +39,41 @@ def folded(text: Column) -> Column:
 
 
 def _place(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BITS)) + 1
+    return (F.pmod(F.xxhash64(gram), F.lit(BITS)) + 1).cast("int")
+
+
+def _file(name: Column) -> Column:
+    """Files that share a hash share their runs, so that both are read where one of them may match."""
+    return F.xxhash64(name)
+
+
+def _places_of(name: str) -> str:
+    return f"{grams_of(name)}/places"
 
 
 def index_grams(spark: SparkSession, path: str) -> list[str]:
     """Index the live folders of a table that have no index yet; returns their names. To be run after `compact_in_place`.
 
-    Distinct runs are found by a hash aggregate before the bits are set, so what is shuffled and sorted is bounded by ``BITS``
-    numbers per file and task, whatever the lines repeat. An index goes with its folder.
+    Distinct runs are found by a hash aggregate of fixed-width values, so what is shuffled is bounded by ``BITS`` numbers per
+    file and task, whatever the lines repeat. An index goes with its folder.
     """
     files = TableFiles(spark, path)
     new = [f.name for f in latest(files).folders if not _indexed(files, f)]
     for name in new:
         rows = spark.read.schema(LOG_SCHEMA).parquet(f"{files.path}/{name}")
         runs = F.regexp_extract_all(folded(F.col("payload")), F.lit(rf"(?=([\x00-\x7F]{{{GRAM}}}))"), F.lit(1))
+        held = F.coalesce(F.transform(runs, _place), F.array().cast("array<int>"))
+        file = F.col("_metadata.file_name")
         places = rows.select(
-            F.col("_metadata.file_name").alias("file"), F.explode(F.array_distinct(F.transform(runs, _place))).alias("place")
-        ).distinct()
-        bits = places.groupBy("file", F.bitmap_bucket_number("place").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
-        )
-        bits.withColumn("folder", F.lit(name)).write.mode("overwrite").parquet(f"{files.path}/{grams_of(name)}")
+            _file(file).alias("file"), file.alias("name"), F.explode(F.array_union(F.array(F.lit(0)), held)).alias("place")
+        ).select("file", "place", F.when(F.col("place") == 0, F.col("name")).alias("name")).distinct()
+        index = places.sortWithinPartitions("place").select(F.lit(name).alias("folder"), "file", "place", "name")
+        index.write.mode("overwrite").parquet(f"{files.path}/{_places_of(name)}")
     return new
 
 
 def _indexed(files: TableFiles, folder: Folder) -> bool:
-    return files.exists(f"{grams_of(folder.name)}/_SUCCESS")
+    return files.exists(f"{_places_of(folder.name)}/_SUCCESS")
 
 
 def required_literals(pattern: str) -> list[list[str]] | None:
@@ -140,15 +152,26 @@ def _group_end(pattern: str, at: int) -> int:
     return -1
 
 
-def files_that_may_match(files: TableFiles, folders: tuple[Folder, ...], pattern: str) -> list[str]:
-    """Paths, relative to the table, of what a search must read: files of indexed folders, other folders as a whole.
+@dataclass(frozen=True)
+class Opened:
+    """What a search must read: ``paths`` (folders and files, relative to the table), and of ``folders`` the files that ``kept``
+    is true of, a condition on nothing but ``_metadata.file_name``, by which the scan leaves the others unopened."""
+
+    paths: list[str]
+    folders: tuple[str, ...] = ()
+    kept: Column | None = None
+
+
+def files_that_may_match(files: TableFiles, folders: tuple[Folder, ...], pattern: str) -> Opened:
+    """What a search must read: files of indexed folders, other folders as a whole.
 
     Runs one job over the rows of the indexes that a run of the pattern falls into.
     """
     spark, literals = files.spark, required_literals(pattern)
+    everything = Opened([f.name for f in folders])
     indexed = [f for f in folders if _indexed(files, f)] if literals else []
     if not indexed:
-        return [f.name for f in folders]
+        return everything
     whole = [f.name for f in folders if f not in indexed]
     runs = [
         (branch, text[i : i + GRAM])
@@ -156,20 +179,28 @@ def files_that_may_match(files: TableFiles, folders: tuple[Folder, ...], pattern
         if text[i : i + GRAM].isascii()
     ]
     if {branch for branch, _ in runs} != set(range(len(literals))):
-        return [f.name for f in folders]
+        return everything
     wanted = (
         spark.createDataFrame(runs, "branch int, gram string")
         .select("branch", _place(folded(F.col("gram"))).alias("place")).distinct()
-        .select("branch", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
         .withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("branch")))
     )
-    index = spark.read.schema(_SCHEMA).parquet(*(f"{files.path}/{grams_of(f.name)}" for f in indexed))
-    # the byte that holds the bit, as a number
-    byte = F.conv(F.hex(F.substr(F.col("bits"), (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    index = spark.read.schema(_SCHEMA).parquet(*(f"{files.path}/{_places_of(f.name)}" for f in indexed))
     may = (
-        index.join(F.broadcast(wanted), "bucket").where(is_set)
+        index.join(F.broadcast(wanted), "place")
         .groupBy("folder", "file", "branch", "needed").agg(F.count(F.lit(1)).alias("found"))
-        .where(F.col("found") == F.col("needed")).select("folder", "file").distinct()
+        .where(F.col("found") == F.col("needed")).select("folder", "file", F.lit(True).alias("may")).distinct()
     )
-    return whole + sorted(f"{r.folder}/{r.file}" for r in may.collect())  # as many names as the scan would list anyway
+    known = index.where("place = 0").select("folder", "file", "name")
+    # as many names as the scan would list anyway
+    listed = known.join(may, ["folder", "file"], "left").select("folder", "file", "name", F.col("may").isNotNull().alias("may")).collect()
+    matching = [r for r in listed if r.may]
+    if len(matching) <= MOST_NAMED:
+        return Opened(whole + sorted(f"{r.folder}/{r.name}" for r in matching))
+    kept = {r.file for r in matching}
+    dropped = {r.file for r in listed} - kept
+    if not dropped:
+        return everything
+    few, verb = (kept, "IN") if len(kept) <= len(dropped) else (dropped, "NOT IN")
+    condition = F.expr(f"xxhash64(_metadata.file_name) {verb} ({', '.join(f'{x}L' for x in sorted(few))})")
+    return Opened(whole, tuple(f.name for f in indexed), condition)

@@ -14,6 +14,7 @@ import hashlib
 import time
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -23,7 +24,7 @@ from ..operators.filters import check_pattern, payload_matches
 from ..operators.order import assign_seq, retain_newest
 from ..schema import CHUNK_ROWS, LOG_SCHEMA
 from ..session import unstage
-from .grams import files_that_may_match, grams_of
+from .grams import Opened, files_that_may_match, grams_of
 from .lines import FILE_POSITION, LINE_ID
 from .manifest import TableFiles, Version, at_version, latest, publish
 from .summaries import summary_of, write_summary
@@ -74,13 +75,16 @@ def _after(version: Version, seq: int) -> Version:
     return replace(version, floor=floor, folders=tuple(f for f in version.folders if f.last > floor))
 
 
-def _rows(files: TableFiles, version: Version, names: list[str] | None = None) -> DataFrame:
-    """The rows of a version, or of those of its folders and files that are named."""
-    spark = files.spark
-    paths = [f"{files.path}/{name}" for name in ([f.name for f in version.folders] if names is None else names)]
-    if not paths:
+def _rows(files: TableFiles, version: Version, opened: Opened | None = None) -> DataFrame:
+    """The rows of a version, or of what is opened of its folders and files."""
+    spark, opened = files.spark, opened or Opened([f.name for f in version.folders])
+    read = lambda names: spark.read.schema(LOG_SCHEMA).parquet(*(f"{files.path}/{name}" for name in names))
+    parts = [read(opened.paths)] if opened.paths else []
+    if opened.folders:
+        parts.append(read(opened.folders).where(opened.kept))
+    if not parts:
         return spark.createDataFrame([], LOG_SCHEMA)
-    rows = spark.read.schema(LOG_SCHEMA).parquet(*paths)
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.where(F.col("seq") > version.floor) if version.floor else rows
 
 

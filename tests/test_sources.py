@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -410,3 +411,33 @@ def test_indexes_go_with_their_folders(spark, tmp_path):
     assert [r.payload for r in answer.rows.collect()] == ["third word"]
     same = search_logs(read_log_table(spark, path), grep="(?i)WORD", limit=1).envelope
     assert answer.envelope.collect() == same.collect()
+
+
+def test_a_search_that_many_files_may_match_lists_folders_and_leaves_the_other_files_unopened(spark, tmp_path):
+    path = tmp_path / "log"
+    lines = spark.range(1, 251).selectExpr(
+        "id AS n", "timestamp'2024-01-15' AS timestamp", "'api' AS source", "'info' AS level",
+        "CASE WHEN id BETWEEN 101 AND 110 THEN 'other' WHEN id = 7 THEN NULL ELSE 'wanted row' END AS payload",
+    )
+    append_batch(lines.where("n <= 240"), str(path), "b", 0, order_by=("n",))
+    append_batch(lines.where("n > 240"), str(path), "b", 1, order_by=("n",))
+    compact_in_place(spark, str(path), rows_per_file=2)
+    index_grams(spark, str(path))
+    index = spark.read.parquet(str(path / "_grams" / "_merged" / "*" / "places"))
+    assert index.count() < 125 * 20  # as many rows as runs, and one for the name; no bitmap for each file
+    held = spark.read.parquet(str(path / "_merged" / "*")).groupBy(F.col("_metadata.file_name").alias("file"))
+    others = [r.file for r in held.agg(F.bool_and(F.col("payload") == "other").alias("other")).where("other").collect()]
+    assert len(others) >= 4
+    for name in others:
+        (file,) = (path / "_merged").glob(f"*/{name}")
+        (file.parent / f".{name}.crc").unlink(missing_ok=True)
+        file.write_bytes(b"not to be opened")
+    spark.sparkContext.setJobGroup("many files", "")
+    try:
+        found = read_log_table(spark, str(path), grep="wanted")
+        assert found.count() == 239
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many files") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100  # not a task for each file
