@@ -23,17 +23,17 @@ def table_source_stats(spark: SparkSession, path: str, version: int | None = Non
 
 def table_source_totals(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """`source_totals` of a log table."""
-    return totals_of(read_counters(spark, path, version))
+    return totals_of(read_counters(spark, path, version, lines=False))
 
 
 def table_horizon(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """`horizon` of a log table."""
-    return horizon_of(read_counters(spark, path, version))
+    return horizon_of(read_counters(spark, path, version, lines=False))
 
 
 def table_status(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """`log_status` of a log table."""
-    return status_of(read_counters(spark, path, version))
+    return status_of(read_counters(spark, path, version, lines=False))
 
 
 def table_sources(spark: SparkSession, path: str, lifecycle_events: DataFrame, version: int | None = None) -> Result:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.stats import counters_with_last_line, merged_counters
+from ..operators.stats import counters_with_last_line, merged_counters, source_counters
 from ..schema import LOG_SCHEMA
 from ..session import unstage
 from .manifest import Folder, TableFiles, Version, at_version, latest
@@ -36,17 +36,18 @@ def write_summary(spark: SparkSession, path: str, name: str) -> Folder:
     return Folder(name, sums[0] or 0, sums[1], sums[2], summary=True)
 
 
-def read_counters(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def read_counters(spark: SparkSession, path: str, version: int | None = None, lines: bool = True) -> DataFrame:
     """Counters of every source of the newest version (or of another): the columns of ``SUMMARY``.
 
     Event rows are read only of folders through which an eviction cuts (at most one, since seq rises with the folders) and
-    of those written before summaries were kept. A table without rows gives none.
+    of those written before summaries were kept. A table without rows gives none. Without ``lines``, ``last_line`` may be null,
+    no payload is read, and no job is run.
     """
     files = TableFiles(spark, path)
-    return counters_of(files, latest(files) if version is None else at_version(files, version))
+    return counters_of(files, latest(files) if version is None else at_version(files, version), lines)
 
 
-def counters_of(files: TableFiles, version: Version) -> DataFrame:
+def counters_of(files: TableFiles, version: Version, lines: bool = True) -> DataFrame:
     spark = files.spark
     kept = [f for f in version.folders if f.summary and f.first > version.floor]
     cut = [f for f in version.folders if not (f.summary and f.first > version.floor)]
@@ -55,5 +56,6 @@ def counters_of(files: TableFiles, version: Version) -> DataFrame:
         found = spark.read.schema(SUMMARY).parquet(*(f"{files.path}/{summary_of(f.name)}" for f in kept))
     if cut:
         rows = spark.read.schema(LOG_SCHEMA).parquet(*(f"{files.path}/{f.name}" for f in cut)).where(F.col("seq") > version.floor)
-        found = found.unionByName(counters_with_last_line(rows).select(*found.columns))
+        counted = counters_with_last_line(rows) if lines else source_counters(rows).withColumn("last_line", F.lit(None).cast("string"))
+        found = found.unionByName(counted.select(*found.columns))
     return merged_counters(found)
