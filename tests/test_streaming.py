@@ -141,6 +141,22 @@ def test_follow_unique_lets_no_repeat_pass(spark, make_logs, tmp_path):
     assert _seen(spark, path, len(parts) + 2).count() == ranges.count()
 
 
+def test_a_batch_rewrites_its_own_ranges_and_few_others(spark, make_logs, tmp_path):
+    from logevidence.streaming.unique import RANGES, _seen, unique_batch
+
+    logs = stage(random_log(make_logs, seed=29)[0].where("seq <= 240"))
+    path = str(tmp_path / "unique")
+    kept = []
+    for i in range(6):
+        # every second number of forty, those of the batch before again
+        unique_batch(logs.where(f"seq % 2 = 0 AND seq > {40 * (i - 1)} AND seq <= {40 * (i + 1)}"), path, i, chunk_rows=16)
+        kept.append(spark.read.schema(RANGES).parquet(f"{path}/_seen/batch={i}").count())
+    assert kept == [20, 40, 20, 80, 20, 40]
+    even = [r["seq"] for r in logs.where("seq % 2 = 0").orderBy("seq").collect()]
+    assert sorted(r["seq"] for r in read_unique(spark, path).collect()) == even == list(range(2, 241, 2))
+    assert sorted((r["first"], r["last"]) for r in _seen(spark, path, 6).collect()) == [(n, n) for n in even]
+
+
 def test_follow_traces_on_the_table(spark, table, tmp_path):
     path, append = table
     append(("api", "info", "next"), ("web", "error", "ERROR open"), ("web", "unknown", "    at x"))
